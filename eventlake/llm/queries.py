@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import packing, scratch, warc
+from eventlake.llm import packing, quality, scratch, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,9 @@ def tokenizer_path() -> str:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all ``documents`` into sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2)
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rules and outlier verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
