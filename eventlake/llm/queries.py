@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import packing, quality, scratch, urlfilter, warc
+from eventlake.llm import packing, quality, scratch, surrogates, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,15 @@ URL_RULES = [
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
+#: The key of the surrogates: a secret in production, a fixed value here so that runs agree.
+PII_KEY = "eventlake"
+
+
+@query("op7_pii_surrogates")
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and the types replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = surrogates.replace(docs, PII_KEY)
+    return out.select("doc_id", "text", F.size("pii_types").cast("long").alias("n_mentions"), F.array_join("pii_types", ",").alias("pii_types"))
