@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import packing, quality, scratch, surrogates, urlfilter, warc
+from eventlake.llm import decontaminate, packing, quality, scratch, surrogates, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = surrogates.replace(docs, PII_KEY)
     return out.select("doc_id", "text", F.size("pii_types").cast("long").alias("n_mentions"), F.array_join("pii_types", ",").alias("pii_types"))
+
+
+@query("op4_benchmark_decontamination")
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of documents and ``benchmark`` items that they contain within 5 per cent of edits."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
