@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import decontaminate, packing, quality, scratch, surrogates, urlfilter, warc
+from eventlake.llm import decontaminate, jaccard, packing, quality, scratch, surrogates, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of documents and ``benchmark`` items that they contain within 5 per cent of edits."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of ``documents`` linked by 4-word shingles at similarity 0.85."""
+    return jaccard.classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
