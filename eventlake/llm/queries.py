@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import decontaminate, jaccard, packing, quality, scratch, surrogates, urlfilter, warc
+from eventlake.llm import decontaminate, jaccard, packing, quality, scratch, surrogates, trainorder, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of ``documents`` linked by 4-word shingles at similarity 0.85."""
     return jaccard.classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+@query("op10_training_order")
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes ``documents`` as shards in training order, reads them back and joins their index."""
+    path = f"{scratch.shared_dir(spark)}/shards"
+    index = trainorder.materialise(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    found = trainorder.read_shards(spark, path)
+    return index.join(found, ["slot", "shard", "byte_offset"], "full")

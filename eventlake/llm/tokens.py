@@ -103,10 +103,21 @@ class UnitEncoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids begin."""
+        begin, lengths, pool, at = self._looked_up(data, off)
+        stops = np.concatenate([[0], np.cumsum(lengths)])
+        return pool[np.arange(stops[-1]) + np.repeat(begin - stops[:-1], lengths)], stops[at]
+
+    def count(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """How many ids each text has."""
+        _, lengths, _, at = self._looked_up(data, off)
+        return np.diff(np.concatenate([[0], np.cumsum(lengths)])[at])
+
+    def _looked_up(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where in a pool each unit's ids begin and how many there are, the pool, and where each text's units begin."""
         starts, ends, at = self.units(data, off)
         distinct, first, inverse = distinct_of(Spans(data).hashes(starts, ends))
         if not len(distinct):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         place = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
         if len(self.hashes):
@@ -128,7 +139,4 @@ class UnitEncoder:
                 self.begin = np.insert(self.begin, place[new], begin[new])
                 self.length = np.insert(self.length, place[new], length[new])
                 self.pool = pool
-        lengths = length[inverse]
-        stops = np.concatenate([[0], np.cumsum(lengths)])
-        out = pool[np.arange(stops[-1]) + np.repeat(begin[inverse] - stops[:-1], lengths)]
-        return out, stops[at]
+        return begin[inverse], length[inverse], pool, at
