@@ -1,11 +1,71 @@
-"""The corpus pipeline; stages are added as their operators are built."""
+"""The corpus pipeline: filter, deduplicate, decontaminate, redact, pack.
+
+Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the columns
+of ``documents``; the last returns the packed pieces. Between stages the documents are written as
+Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventlake.llm import decontaminate, jaccard, packing, quality, surrogates
+from eventlake.llm.queries import PII_KEY, tokenizer_path
+from eventlake.llm.scratch import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not rejected; a null id stays."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return _without(docs, quality.judge(docs).filter("not kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: five-word shingles, similarity 0.8."""
+    found = jaccard.classes(docs, n=5, num=80, den=100)
+    return _without(docs, found.filter("doc_id <> component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.leaks(docs, benchmark))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gets surrogates; n_chars follows the text."""
+    return surrogates.replace(docs.select(*COLUMNS), PII_KEY).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path(), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii_surrogates", pii),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: No SQL can express the outlier estimates or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs
