@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import decontaminate, jaccard, packing, quality, scratch, surrogates, trainorder, urlfilter, warc
+from eventlake.llm import decontaminate, jaccard, katz, packing, quality, scratch, surrogates, trainorder, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,9 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = trainorder.materialise(table(spark, sf_dir, "documents"), path, tokenizer_path())
     found = trainorder.read_shards(spark, path)
     return index.join(found, ["slot", "shard", "byte_offset"], "full")
+
+
+@query("op5_katz_scores")
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and Katz scores of all ``documents``."""
+    return katz.scores(table(spark, sf_dir, "documents"))
