@@ -16,8 +16,30 @@ import numpy as np
 
 from eventlake.llm.bytetext import Spans, distinct_of, words
 
-#: Units that a worker remembers; about 20 bytes each.
-REMEMBERED = 2_000_000
+#: Units that a worker remembers; about 30 bytes each.
+REMEMBERED = 1_000_000
+#: Units remembered lately, which join the others when they are so many.
+LATELY = 100_000
+
+
+class _Known:
+    """Sorted hashes of units and where their ids lie in the pool."""
+
+    def __init__(self):
+        self.hashes, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def add(self, hashes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begin, self.length = np.insert(self.hashes, at, hashes), np.insert(self.begin, at, begin), np.insert(self.length, at, length)
+
+    def look_up(self, hashes: np.ndarray, todo: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Fills in what is known of the places ``todo`` and returns the others."""
+        if not len(self.hashes):
+            return todo
+        at = np.minimum(np.searchsorted(self.hashes, hashes[todo]), len(self.hashes) - 1)
+        hit = self.hashes[at] == hashes[todo]
+        begin[todo[hit]], length[todo[hit]] = self.begin[at[hit]], self.length[at[hit]]
+        return todo[~hit]
 
 
 class UnitEncoder:
@@ -41,10 +63,8 @@ class UnitEncoder:
             self.width[i] = len(token)
         for t in spec.get("added_tokens", []):
             self.width[t["id"]] = len(t["content"].encode())
-        self.hashes = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.known, self.lately = _Known(), _Known()
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     @classmethod
     def at(cls, path: str) -> UnitEncoder:
@@ -118,25 +138,24 @@ class UnitEncoder:
         distinct, first, inverse = distinct_of(Spans(data).hashes(starts, ends))
         if not len(distinct):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        place = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.hashes):
-            near = np.minimum(place, len(self.hashes) - 1)
-            known = self.hashes[near] == distinct
         begin, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        begin[known], length[known] = self.begin[place[known]], self.length[place[known]]
-        new = np.flatnonzero(~known)
+        new = self.known.look_up(distinct, np.arange(len(distinct)), begin, length)
+        new = self.lately.look_up(distinct, new, begin, length)
+        if not len(new):
+            return begin[inverse], length[inverse], self.pool, at
+        raw = data.tobytes()
+        strings = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+        ids, lengths = self._encode_units(strings)
+        length[new] = lengths
+        begin[new] = self.used + np.cumsum(lengths) - lengths
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
         pool = self.pool
-        if len(new):
-            raw = data.tobytes()
-            strings = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            ids, lengths = self._encode_units(strings)
-            length[new] = lengths
-            begin[new] = len(pool) + np.cumsum(lengths) - lengths
-            pool = np.concatenate([pool, ids])
-            if len(self.hashes) + len(new) <= REMEMBERED:
-                self.hashes = np.insert(self.hashes, place[new], distinct[new])
-                self.begin = np.insert(self.begin, place[new], begin[new])
-                self.length = np.insert(self.length, place[new], length[new])
-                self.pool = pool
+        pool[self.used : self.used + len(ids)] = ids
+        if len(self.known.hashes) + len(self.lately.hashes) < REMEMBERED:
+            self.used += len(ids)
+            self.lately.add(distinct[new], begin[new], length[new])
+            if len(self.lately.hashes) >= LATELY:
+                self.known.add(self.lately.hashes, self.lately.begin, self.lately.length)
+                self.lately = _Known()
         return begin[inverse], length[inverse], pool, at
