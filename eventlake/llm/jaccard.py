@@ -174,12 +174,12 @@ def signatures(sets: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarr
     return (np.concatenate(out_sig), np.concatenate(out_set)) if out_sig else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], n: int, most: int = 4 << 20):
+def _batches(batches: Iterator[pa.RecordBatch], n: int):
     """(ids, sets, starts) of slices of (id, text) batches."""
     for batch in batches:
         for first in range(0, batch.num_rows, ROWS):
             part = batch.slice(first, ROWS)
-            for i, j, data, off in slices(part.column(1), most):
+            for i, j, data, off in slices(part.column(1)):
                 yield part.column(0).slice(i, j - i), *shingle_sets(data, off, n)
 
 
@@ -223,45 +223,21 @@ def _sets(n: int, name: str, wanted: dict):
         for batch in batches:
             slot = _id_slot(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7) & 1).astype(bool)))
-            for ids, sets, at in _batches(iter([batch]), n, 1 << 20):
-                raw = sets.view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
-                stops = at * (BITS // 8)
-                blobs = [raw[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(blobs, pa.binary())], names=["id", "set"])
-
-    return run
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // (BITS // 8), 8), np.uint8)
-    wide[:, : BITS // 8] = np.frombuffer(blob, np.uint8).reshape(-1, BITS // 8)
-    return wide.view(np.uint64).ravel()
-
-
-def _verified(num: int, den: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = x.as_py(), y.as_py()
-                nx, ny = len(x) // (BITS // 8), len(y) // (BITS // 8)
-                if min(nx, ny) * den < max(nx, ny) * num:
-                    keep.append(False)
-                    continue
-                both = np.concatenate([_unpack(x), _unpack(y)])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared * den >= num * (nx + ny - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for _, sets, at in _batches(iter([batch]), n):
+                # an id may stand for several texts: the fingerprint of what was read decides
+                columns = [_long(fingerprints(sets, at)), _long(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _long(sets))]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "set"])
 
     return run
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets reach the threshold."""
-    with_b = pairs.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
-    both = with_b.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(num, den), "a long, b long")
+    of = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("set").alias(f"set_{x}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    both = both.filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter(shared * den >= num * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
 def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,9 +268,7 @@ def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col:
     bitmaps = slots.groupBy(F.expr("slot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
     name = uuid.uuid4().hex
     filter_bits = {name: {r["bucket"]: bytes(r["bits"]) for r in bitmaps.collect()}}  # 4 MB at most
-    texts = slim.mapInArrow(_sets(n, name, filter_bits), "id long, set binary")
-    # an id may stand for several texts: the fingerprint of what was read decides
-    found = texts.mapInArrow(_with_fingerprint, "fp long, set binary")
+    found = slim.mapInArrow(_sets(n, name, filter_bits), "fp long, n long, set array<long>")
     sets = written(found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
 
     star = shared.filter("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
@@ -321,10 +295,3 @@ def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col:
     alone = profile.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(alone)
 
-
-def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blobs = [x.as_py() for x in batch.column("set")]
-        at = np.concatenate([[0], np.cumsum([len(x) // (BITS // 8) for x in blobs], dtype=np.int64)])
-        fp = fingerprints(_unpack(b"".join(blobs)), at) if blobs else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([_long(fp), batch.column("set")], names=["fp", "set"])
