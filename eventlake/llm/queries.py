@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import decontaminate, jaccard, katz, packing, quality, scratch, surrogates, trainorder, urlfilter, warc
+from eventlake.llm import decontaminate, jaccard, katz, packing, quality, repeats, scratch, surrogates, trainorder, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and Katz scores of all ``documents``."""
     return katz.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 400 bytes leave of every document."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
