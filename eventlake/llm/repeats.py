@@ -129,6 +129,17 @@ def _matrix(data: np.ndarray, start: np.ndarray, width: np.ndarray, most: int, b
     return np.where(column < width[:, None], data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Hashes of spans that are short beside ``step``; prefix sums are held for one step at a time."""
+    out = np.empty(len(start), np.uint64)
+    chunk = start // step
+    for c in np.unique(chunk):
+        own = np.flatnonzero(chunk == c)
+        first, last = int(start[own].min()), int(stop[own].max())
+        out[own] = Spans(data[first:last]).hashes(start[own] - first, stop[own] - first)
+    return out
+
+
 class Anchored:
     """The anchors of a block, their hashes and how far their text reaches on both sides."""
 
@@ -138,10 +149,8 @@ class Anchored:
         text = np.searchsorted(off, self.at, "right") - 1
         self.left = np.minimum(self.at - off[text], shape.window - 1)
         self.right = np.minimum(off[text + 1] - self.at, shape.length)
-        spans = Spans(data)
-        self.hash = spans.hashes(self.at, self.at + shape.sure)
-        self.context = mix(spans.hashes(self.at - self.left, self.at + self.right) + self.left.astype(np.uint64))
-        self.spans = spans
+        self.hash = _hashes(data, self.at, self.at + shape.sure)
+        self.context = mix(_hashes(data, self.at - self.left, self.at + self.right) + self.left.astype(np.uint64))
 
 
 ASKED = "part int, block long, body binary"
@@ -202,7 +211,7 @@ def _strings(found: Anchored, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     fits = (distance <= found.left[hot, None]) & (shape.length - distance <= found.right[hot, None])
     which, j = np.nonzero(fits)
     start = found.at[hot[which]] - j
-    return hot[which], j, found.spans.hashes(start, start + shape.length)
+    return hot[which], j, _hashes(found.data, start, start + shape.length)
 
 
 def _state(found: Anchored, answers: np.ndarray, hot: int) -> np.ndarray:
