@@ -13,9 +13,9 @@ one-deletion neighbourhood too. The number of segments of a band is the one whos
 of index entries is least. A set indexes all its segments in its own band; for the partners of
 the next band it indexes only the H + 1 segments with most shingles, the rarest signatures.
 
-Candidates are verified by intersecting the sets. To avoid all pairs of a large group, the sets
-that share a signature are first compared with one of them each; only pairs that are then not
-yet connected are compared one by one.
+Candidates are verified by intersecting the sets. To avoid all pairs of a large group, every set is
+first compared with one leader of a signature it shares. Of the pairs that are then not yet
+connected, those are compared that the shingles they do not have to themselves could link.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ _DELETED = np.uint64(0x5851F42D4C957F2D)
 ROWS = 60_000
 #: Bits of the filter that spares the reading of texts without candidates: 4 MB whatever the data.
 FILTER_BITS = 1 << 25
+#: Fingerprints that are broadcast (8 bytes each); longer lists are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -231,8 +233,16 @@ def _sets(n: int, name: str, wanted: dict):
     return run
 
 
+def _only(sets: DataFrame, fps: DataFrame) -> DataFrame:
+    """The rows of ``sets`` with one of the distinct ``fps``; the sets move only if the list is long."""
+    few = fps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return sets.join(F.broadcast(fps) if few else fps, "fp", "left_semi")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets reach the threshold."""
+    pairs = written(pairs)
+    sets = _only(sets, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     of = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("set").alias(f"set_{x}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     both = both.filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
@@ -240,6 +250,60 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(shared * den >= num * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
+def _contenders(open_rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``open_rows`` that can still be of a link between two components.
+
+    Shingles that no other open set has lie in no intersection. With k others a set of x can
+    only link with sets of up to ``reach`` = k (1 + t) / t - x shingles.
+    """
+    own = _only(sets, open_rows.select("fp").distinct())
+    alone = own.select("fp", F.explode("set").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("fp").alias("fp")).filter("c = 1").groupBy("fp").agg(F.count("*").alias("alone"))
+    k = F.col("n") - F.coalesce("alone", F.lit(0))
+    reach = own.select("fp", "n").join(alone, "fp", "left").select("fp", "n", (F.floor(k * (num + den) / F.lit(num)) - F.col("n")).alias("reach"))
+    by_sig = Window.partitionBy("sig")
+    rows = open_rows.select("sig", "fp", "root").join(reach, "fp")
+    for name, column in (("lo", F.min("root")), ("hi", F.max("root")), ("least", F.min("n")), ("most", F.max("reach"))):
+        rows = rows.withColumn(name, column.over(by_sig))
+    return rows.filter("lo <> hi and reach >= least and n <= most").select("sig", "fp", "root", "n", "reach")
+
+
+def _leads(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: every set with the leader of another component that it shares most signatures with.
+
+    The leader of a signature is the set whose signatures are shared by most others: a text that
+    others derive from keeps what they change.
+    """
+    by_sig = Window.partitionBy("sig")
+    sized = rows.select("sig", "fp", "root").withColumn("c", F.count("*").over(by_sig))
+    weight = sized.groupBy("fp").agg(F.sum("c").alias("w"))
+    led = sized.join(weight, "fp").withColumn("lead", F.max(F.struct("w", "fp", "root")).over(by_sig)).filter("root <> lead.root")
+    best = led.groupBy("fp", F.col("lead.fp").alias("leader")).agg(F.count("*").alias("k")).groupBy("fp").agg(F.max(F.struct("k", "leader")).alias("best"))
+    return best.select(F.least("fp", "best.leader").alias("a"), F.greatest("fp", "best.leader").alias("b")).distinct()
+
+
+def _relabelled(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """``rows`` with the roots of ``root`` (node, root), where their signature still joins two of them."""
+    by_sig = Window.partitionBy("sig")
+    named = rows.join(root.withColumnsRenamed({"node": "fp", "root": "__r"}), "fp", "left").withColumn("root", F.coalesce("__r", "fp")).drop("__r")
+    return named.withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig)).filter("lo <> hi").drop("lo", "hi")
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of sets of different components that share a signature and can reach each other.
+
+    A pair is made at the first of the signatures that both have.
+    """
+    of = rows.groupBy("fp").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
+    full = rows.join(of, "fp")
+    a, b = (full.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", "n", "reach", "sigs"))) for x in "ab")
+    made = a.join(b, "sig").filter("root_a < root_b and n_a <= reach_b and n_b <= reach_a and sig = array_min(array_intersect(sigs_a, sigs_b))")
+    return made.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))
+
+
+def _tree(root: DataFrame) -> DataFrame:
+    return root.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
@@ -258,8 +322,8 @@ def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col:
     # sets that share a signature; copies are one set
     by_sig = Window.partitionBy("sig")
     entries = slim.mapInArrow(_entries(n, bands), "sig long, fp long")
-    shared = entries.withColumn("pivot", F.min("fp").over(by_sig)).withColumn("last", F.max("fp").over(by_sig)).filter("pivot <> last").select("sig", "fp", "pivot")
-    shared = written(shared.distinct())
+    met = entries.withColumn("first", F.min("fp").over(by_sig)).withColumn("last", F.max("fp").over(by_sig)).filter("first <> last")
+    shared = written(met.select("sig", "fp", F.col("fp").alias("root")).distinct())
 
     # the sets of candidates, read again from the texts that have them
     wanted = profile.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id")).join(shared.select("fp").distinct(), "fp", "left_semi")
@@ -271,22 +335,21 @@ def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col:
     found = slim.mapInArrow(_sets(n, name, filter_bits), "fp long, n long, set array<long>")
     sets = written(found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
 
-    star = shared.filter("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
+    # every set is compared with one leader, then those that can still link with another
+    star = written(_leads(shared))
     first = written(_links(star, sets, num, den))
     root = written(components(first))
-
-    labelled = shared.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_rows = labelled.withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig)).filter("lo <> hi and fp <> pivot")
-    open_rows = written(open_rows.select("sig", "fp", "root"))
-    a = open_rows.select("sig", F.col("fp").alias("fa"), F.col("root").alias("ra"))
-    b = open_rows.select("sig", F.col("fp").alias("fb"), F.col("root").alias("rb"))
-    rest = a.join(b, "sig").filter("ra < rb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    second = written(_links(rest, sets, num, den))
-
-    known = root.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    final = components(known.unionByName(second)).withColumnsRenamed({"node": "fp", "root": "class"})
-    links = first.unionByName(second)
+    open_rows = written(_contenders(written(_relabelled(shared, root)), sets, num, den))
+    again = written(_leads(open_rows).join(star, ["a", "b"], "left_anti"))
+    second = written(_links(again, sets, num, den))
+    root = written(components(_tree(root).unionByName(second)))
+    open_rows = written(_contenders(written(_relabelled(open_rows.select("sig", "fp", "root"), root)), sets, num, den))
+    # and what is left, pair by pair
+    rest = _open_pairs(open_rows).join(star.unionByName(again), ["a", "b"], "left_anti")
+    third = written(_links(rest, sets, num, den))
+
+    final = components(_tree(root).unionByName(third)).withColumnsRenamed({"node": "fp", "root": "class"})
+    links = first.unionByName(second).unionByName(third)
     degree = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     info = final.join(degree, "fp", "left")
     labelled = profile.filter("n > 0").join(info, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
