@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.llm import decontaminate, jaccard, packing, quality, surrogates
-from eventlake.llm.queries import PII_KEY, tokenizer_path
+from eventlake.llm.queries import PII_KEY, reach_workers, tokenizer_path
 from eventlake.llm.scratch import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -63,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
+    reach_workers(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
