@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlake.functions.hashing import sha_slot
+from eventlake.operators.log import floor_join
+
 
 def range_assign(partitions: DataFrame, members: DataFrame, partition: str, member: str) -> DataFrame:
     """(partition, member): contiguous ranges in order; the first members take one more if it does not come out even."""
@@ -65,3 +68,35 @@ def longest_prefix(names: DataFrame, name: str, rules: DataFrame, prefix: str, v
 def churn(old: Column, new: Column) -> Column:
     """The share of rows that moved, in per cent."""
     return F.round(100.0 * F.avg((old != new).cast("int")), 4)
+
+
+def ring_owner(keys: DataFrame, key: str, nodes: DataFrame, node: str, virtual: int) -> DataFrame:
+    """(key, node): the first virtual node clockwise of the key's place on a ring of 2^32 places."""
+    place = lambda c: sha_slot(c, 2**32)
+    vnodes = nodes.withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(virtual - 1))))
+    ring = vnodes.select(place(F.concat_ws("#", F.col(node), F.col("__v").cast("string"))).alias("at"), node)
+    # the next place up is the floor in the mirrored order; the all-equal key keeps one ordered run
+    mirrored = ring.select(F.lit(0).alias("__k"), (-F.col("at")).alias("at"), node)
+    probe = keys.select(F.lit(0).alias("__k"), (-place(F.col(key))).alias("at"), key)
+    first = ring.agg(F.min_by(node, "at").alias("__first"))
+    return floor_join(probe, mirrored, ["__k"], "at", node).join(F.broadcast(first)).select(key, F.coalesce(node, "__first").alias(node))
+
+
+def sticky_assign(current: DataFrame, members: DataFrame, partition: str, member: str) -> DataFrame:
+    """(partition, member): balanced to within one, moving as few partitions as that allows.
+
+    ``current`` has every partition, with its owner or null. Members that own most keep the larger
+    shares; what they own beyond their share, and what has no living owner, fills the others up.
+    """
+    n = current.agg(F.count("*").alias("__n")).join(F.broadcast(members.agg(F.count("*").alias("__m"))))
+    own = current.join(members, member, "left_semi").groupBy(member).agg(F.count("*").alias("__c"))
+    seats = members.join(own, member, "left").withColumn("__c", F.coalesce("__c", F.lit(0)))
+    seats = seats.withColumn("__i", F.row_number().over(Window.orderBy(F.desc("__c"), member))).join(F.broadcast(n))
+    seats = seats.select(member, (F.expr("__n div __m") + (F.col("__i") <= F.col("__n") % F.col("__m")).cast("bigint")).alias("__q"))
+    ranked = current.join(seats, member, "left").withColumn("__r", F.row_number().over(Window.partitionBy(member).orderBy(partition)))
+    kept = ranked.filter("__r <= __q").select(partition, member)
+    loose = ranked.filter("__q IS NULL OR __r > __q").select(partition).withColumn("__k", F.row_number().over(Window.orderBy(partition)))
+    have = kept.groupBy(member).agg(F.count("*").alias("__h"))
+    gaps = seats.join(have, member, "left").withColumn("__g", F.col("__q") - F.coalesce("__h", F.lit(0))).filter("__g > 0")
+    gaps = gaps.withColumn("__s", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__g")))).withColumn("__k", F.row_number().over(Window.orderBy(member, "__s")))
+    return kept.unionByName(loose.join(gaps, "__k").select(partition, member))

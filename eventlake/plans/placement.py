@@ -84,3 +84,33 @@ def sticky_batches(spark, sf_dir):
 def repartition_safety(spark, sf_dir):
     k = table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct(F.col("event_id") % 4).alias("partitions"))
     return k.groupBy("partitions").agg(F.count("*").alias("keys"), F.bool_and(F.col("partitions") == 1).alias("grouping_safe"))
+
+
+RING = """ring AS (SELECT ('0x' || substr(sha256('node-' || i || '#' || v), 1, 8))::BIGINT AS pos, 'node-' || i AS node FROM range(5) a(i), range(8) b(v)),
+    k AS (SELECT DISTINCT p_brand, ('0x' || substr(sha256(p_brand), 1, 8))::BIGINT AS pos FROM part)"""
+
+
+@register("consistent_hash", f"WITH {RING} SELECT p_brand, coalesce((SELECT arg_min(node, pos) FROM ring WHERE ring.pos >= k.pos), (SELECT arg_min(node, pos) FROM ring)) AS node FROM k")
+def consistent_hash(spark, sf_dir):
+    nodes = spark.range(5).select(F.concat(F.lit("node-"), F.col("id").cast("string")).alias("node"))
+    return P.ring_owner(table(spark, sf_dir, "part").select("p_brand").distinct(), "p_brand", nodes, "node", 8)
+
+
+@register(
+    "sticky_rebalance",
+    """WITH cur AS (SELECT p_partkey AS partition, 'm' || (p_partkey * p_partkey % 7) AS member FROM part), mem AS (SELECT 'm' || i AS member FROM range(1, 9) t(i)),
+       n AS (SELECT (SELECT count(*) FROM cur) AS n, (SELECT count(*) FROM mem) AS m),
+       own AS (SELECT mem.member, count(cur.partition) AS c FROM mem LEFT JOIN cur USING (member) GROUP BY 1),
+       seats AS (SELECT member, n // m + CASE WHEN row_number() OVER (ORDER BY c DESC, member) <= n % m THEN 1 ELSE 0 END AS q FROM own, n),
+       ranked AS (SELECT partition, cur.member, q, row_number() OVER (PARTITION BY cur.member ORDER BY partition) AS r FROM cur LEFT JOIN seats USING (member)),
+       kept AS (SELECT partition, member FROM ranked WHERE r <= q),
+       loose AS (SELECT partition, row_number() OVER (ORDER BY partition) AS k FROM ranked WHERE q IS NULL OR r > q),
+       gaps AS (SELECT member, unnest(range(1, (q - coalesce(h, 0) + 1)::BIGINT)) AS s FROM seats LEFT JOIN (SELECT member, count(*) AS h FROM kept GROUP BY 1) USING (member)),
+       g AS (SELECT member, row_number() OVER (ORDER BY member, s) AS k FROM gaps)
+       SELECT partition, member FROM kept UNION ALL SELECT partition, member FROM loose JOIN g USING (k)""",
+)
+def sticky_rebalance(spark, sf_dir):
+    k = F.col("p_partkey")
+    current = table(spark, sf_dir, "part").select(k.alias("partition"), F.concat(F.lit("m"), (k * k % 7).cast("string")).alias("member"))
+    members = spark.range(1, 9).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("member"))
+    return P.sticky_assign(current, members, "partition", "member")
