@@ -34,6 +34,8 @@ FEATURES: tuple[tuple[str, str, float], ...] = (
 CUTOFF = 23.51
 #: Distance bins per unit of ln(1 + d^2); distances are compared by bin, which makes a step exact and repeatable.
 BINS = 64
+#: Groups whose estimates are broadcast (about 200 bytes each).
+BROADCAST_GROUPS = 20_000
 
 
 def let(value: Column, body) -> Column:
@@ -161,6 +163,11 @@ def _concentrate(binned: DataFrame, keys: list[str], names: list[str], share: fl
     return _estimate(kept.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in totals)), keys, floors, prior)
 
 
+def _near(params: DataFrame) -> DataFrame:
+    """``params`` to be broadcast if it is short; else documents and groups meet by shuffle."""
+    return F.broadcast(params) if params.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else params
+
+
 def mcd(df: DataFrame, keys: list[str], names: list[str], floors: list[float], share: float = 0.75, steps: int = 4, prior: float = 50.0) -> DataFrame:
     """One row per group: location m{i} and the triangle l{i}{j} of the scatter.
 
@@ -172,7 +179,7 @@ def mcd(df: DataFrame, keys: list[str], names: list[str], floors: list[float], s
     identity = [(f"l{i}{j}", F.lit(floors[i] if i == j else 0.0)) for i, j in _pairs(len(names))]
     params = written(_with(middle, identity))
     for _ in range(steps):
-        near = _with(df.join(params, keys), _distance(names)).withColumn("bin", F.floor(F.log1p("d2") * BINS))
+        near = _with(df.join(_near(params), keys), _distance(names)).withColumn("bin", F.floor(F.log1p("d2") * BINS))
         params = written(_concentrate(near, keys, names, share, floors, prior))
     return params
 
@@ -195,7 +202,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     table = written(_with(counted, [(name, F.round(F.expr(sql), 9)) for name, sql, _ in FEATURES]))
     names, floors = [f[0] for f in FEATURES], [f[2] for f in FEATURES]
     params = mcd(table.filter(~F.col("base_failed")).select(*keys, *names), keys, names, floors, share, steps)
-    scored = _with(table.join(params, keys, "left"), _distance(names))
+    scored = _with(table.join(_near(params), keys, "left"), _distance(names))
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
