@@ -15,7 +15,9 @@ the next band it indexes only the H + 1 segments with most shingles, the rarest
 
 Candidates are verified by intersecting the sets. To avoid all pairs of a large group, every set is
 first compared with one leader of a signature it shares. Of the pairs that are then not yet
-connected, those are compared that the shingles they do not have to themselves could link.
+connected, those are compared that the shingles they do not have to themselves could link. That
+settles the classes. Every link lies inside one class, so the links of each set are then counted
+over all pairs of its class, by blocks of a class whose shared shingles are one matrix product.
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ _DELETED = np.uint64(0x5851F42D4C957F2D)
 ROWS = 60_000
 #: Bits of the filter that spares the reading of texts without candidates: 4 MB whatever the data.
 FILTER_BITS = 1 << 25
+#: Sets of a class in one block; every pair of a class's blocks is counted by itself.
+BLOCK_SETS = 256
+#: Shingles in one step of a block's matrix product.
+STEP_SHINGLES = 8192
 #: Fingerprints that are broadcast (8 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -300,17 +306,64 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
     return made.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of ``sets`` share."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = held[column] > 1
+    row, column = row[common], (np.cumsum(held > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, STEP_SHINGLES):
+        a, b = np.searchsorted(column, [first, first + STEP_SHINGLES])
+        holds = np.zeros((len(sets), STEP_SHINGLES), np.float32)
+        holds[row[a:b], column[a:b] - first] = 1
+        out += (holds @ holds.T).astype(np.int64)
+    return out
+
+
+def _count_links(num: int, den: int):
+    """(fp, k) of a pair of blocks: the links of each set across it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        sets = [np.asarray(s) for s in table.column("set").combine_chunks().to_numpy(zero_copy_only=False)]
+        n, shared = np.array([len(s) for s in sets]), _shared(sets)
+        link = shared * den >= num * (n[:, None] + n[None, :] - shared)
+        np.fill_diagonal(link, False)
+        if lo[0] != hi[0]:
+            link &= block[:, None] != block[None, :]
+        return pa.table({"fp": table.column("fp"), "k": pa.array(link.sum(1), pa.int64())})
+
+    return run
+
+
+def _degrees(final: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(fp, n_links) of the sets of ``final`` (fp, class): the verified links to other sets, over all pairs of a class."""
+    final = written(final)
+    sizes = final.groupBy("class").agg(F.count("*").alias("m"))
+    sized = final.join(sizes, "class")
+    two = sized.filter("m = 2").select("fp", F.lit(1).cast("long").alias("k"))
+    many = written(sized.filter("m > 2").withColumn("blocks", F.ceil(F.col("m") / BLOCK_SETS).cast("long")))
+    held = _only(sets, many.select("fp")).join(many, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("fp", "set", "class", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    counted = dealt.groupBy("class", "lo", "hi").applyInArrow(_count_links(num, den), "fp long, k long")
+    return two.unionByName(counted).groupBy("fp").agg(F.sum("k").alias("n_links"))
+
+
 def _tree(root: DataFrame) -> DataFrame:
     return root.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
-def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
     Documents link when the Jaccard similarity of their sets of ``n``-word shingles is at least
     ``num / den``; words are lower-cased (A-Z) and split at ASCII white space. component_id is the
-    least doc_id that links reach. n_links counts the verified links of a document's set to other
-    sets; pairs that were connected already are not counted. A document without words, or with a
+    least doc_id that links reach. n_links counts all links of a document's set to other sets,
+    each verified; copies are one set; without ``count_links`` it is null. A document without words, or with a
     null text, has no shingles and is linked with nothing, not even its like. Rows that repeat an
     id are documents each; a null id never becomes a component_id unless it stands alone. Other
     columns are not read; an empty table gives no rows.
@@ -349,12 +402,10 @@ def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col:
     third = written(_links(rest, sets, num, den))
 
     final = components(_tree(root).unionByName(third)).withColumnsRenamed({"node": "fp", "root": "class"})
-    links = first.unionByName(second).unionByName(third)
-    degree = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    info = final.join(degree, "fp", "left")
+    info = final.join(_degrees(final, sets, num, den), "fp", "left") if count_links else final.withColumn("n_links", F.lit(None).cast("long"))
     labelled = profile.filter("n > 0").join(info, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
     least = labelled.groupBy("class").agg(F.min("id").alias("component_id"))
-    full = labelled.join(least, "class").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = profile.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    full = labelled.join(least, "class").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None)).cast("long").alias("n_links"))
+    alone = profile.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0 if count_links else None).cast("long").alias("n_links"))
     return full.unionByName(alone)
 

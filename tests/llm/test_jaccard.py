@@ -119,3 +119,17 @@ def test_components(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent if x != 9000}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rng = random.Random(9)
+    base = rng.choices(["w%d" % i for i in range(500)], k=120)
+    docs = corpus(rng) + [(5000 + i, " ".join([*base, *(f"own{i}x{k}" for k in range(i % 12))])) for i in range(40)]
+    sets = {d: frozenset(shingles(t, 4)) for d, t in docs}
+    distinct = set(sets.values()) - {frozenset()}
+    links = {s: sum(s != o and len(s & o) * 100 >= 85 * len(s | o) for o in distinct) for s in distinct}
+    got = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.n_links for r in got} == {d: links.get(s, 0) for d, s in sets.items()}
+    assert max(links.values()) > 20
