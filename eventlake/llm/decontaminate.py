@@ -9,6 +9,8 @@ size, each against all documents, and documents are never shuffled.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 8_000_000
 #: Characters of an item for each edit it may suffer: 5 per cent.
 CHARS_PER_EDIT = 20
-#: Shorter items (normalised) say nothing about a document and are not searched.
+#: Shorter items (normalised) are found only as they are and on word boundaries.
 LEAST_CHARS = 16
+#: Scripts that set no space between words: beside their characters any place is a boundary.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 HITS = "doc_id long, item_id long, distance int, start long, stop long"
 
@@ -31,6 +35,17 @@ def normalise(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
+def _in_word(c: str) -> bool:
+    """Whether a word may go on beside ``c``."""
+    return c == "_" or unicodedata.category(c)[0] in "LNM" and not _UNSPACED.match(c)
+
+
+def bounded(text: str, start: int, stop: int) -> bool:
+    """Whether ``text[start:stop]`` begins and ends on word boundaries."""
+    cuts = lambda at: 0 < at < len(text) and _in_word(text[at - 1]) and _in_word(text[at])
+    return not cuts(start) and not cuts(stop)
+
+
 def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     """(distance, end) of the best occurrence of ``pattern`` in ``text``, the first of equals; None beyond ``most``."""
     m = len(pattern)
@@ -64,7 +79,7 @@ class Finder:
     """The items of one block, ready to search."""
 
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
-        self.items = [(i, text, len(text) // chars_per_edit) for i, text in items]
+        self.items = [(i, text, len(text) // chars_per_edit if len(text) >= LEAST_CHARS else 0) for i, text in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget) in enumerate(self.items):
             cuts = [len(text) * p // (budget + 1) for p in range(budget + 2)]
@@ -85,6 +100,8 @@ class Finder:
             for n, at in places:
                 _, item, budget = self.items[n]
                 begin = last + 1 - length - at
+                if len(item) < LEAST_CHARS and not bounded(text, begin, begin + length):
+                    continue
                 low, high = max(0, begin - budget), min(len(text), begin + len(item) + budget)
                 known = stretches.setdefault(n, [])
                 if known and low <= known[-1][1] and high >= known[-1][0]:
@@ -129,7 +146,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Texts are compared in lower case with white space collapsed, in which form ``start`` and
     ``stop`` count characters. An item of n characters may differ by n // chars_per_edit edits;
     its best occurrence is reported. Null and empty texts and items match nothing, nor do items
-    below ``least_chars``. Repeated documents or items give repeated rows. Further columns are not
+    below ``least_chars``. Items of fewer than LEAST_CHARS characters count where they stand unchanged
+    and on word boundaries. Repeated documents or items give repeated rows. Further columns are not
     read; either table may be empty.
     """
     items = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t"))

@@ -116,7 +116,7 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_benchmark_decontamination")
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of documents and ``benchmark`` items that they contain within 5 per cent of edits."""
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_chars=1)
 
 
 @query("op1_ngram_jaccard_join")

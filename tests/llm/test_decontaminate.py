@@ -94,3 +94,18 @@ def test_empty_tables(spark):
     assert D.leaks(docs, bench.limit(0)).count() == 0
     assert D.leaks(docs.limit(0), bench).count() == 0
     assert D.leaks(docs, bench).count() == 1
+
+
+def test_short_items_are_found_whole_and_on_word_boundaries(spark):
+    items = [(1, "2+2=4"), (2, "Why?"), (3, "你是谁"), (4, "a cat"), (5, " "), (6, None)]
+    docs = [(1, "so 2+2=4."), (2, "12+2=45"), (3, "and WHY? said"), (4, "他问你是谁吗"), (5, "a  cat"), (6, "a category, a cat"), (7, "beta cat"), (8, "a cut"), (9, None)]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least_chars=1).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(1, 1, 0), (3, 2, 0), (4, 3, 0), (5, 4, 0), (6, 4, 0)]
+
+
+def test_query_searches_short_items(spark, tmp_path):
+    from eventlake.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "so 2+2=4.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "2+2=4")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id) for r in QUERIES["op4_benchmark_decontamination"](spark, str(tmp_path)).collect()] == [(1, 7)]
