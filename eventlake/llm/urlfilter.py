@@ -17,8 +17,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DAMPING = 0.85
 ROUNDS = 20
-#: Blocked above: distrust > RATIO * trust + MARGIN.
-RATIO, MARGIN = 1.0, 0.01
+#: Blocked: distrust above RATIO * trust by more than MARGIN of either, which is rounding noise.
+RATIO, MARGIN = 1.0, 1e-9
 
 
 def host_of(url: Column) -> Column:
@@ -99,7 +99,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     The longest rule whose host is the page's host or a domain above it and whose path begins the
-    page's path decides; else the link graph, in which a host without scores is allowed. A null
+    page's path decides; else the link graph, in which a host without scores is allowed. Scores are
+    compared by ratio and before they are rounded, so that verdicts do not depend on the graph's size. A null
     url, or one without ``://``, has an empty host and path and is allowed. A null html has no
     links. Rows that repeat an id are judged each; an empty table gives no rows.
     """
@@ -115,8 +116,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     seeds = pages_of.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust") / F.col("n"), F.lit("distrust"), F.col("distrust") / F.col("n"))).alias("kind", "value")).filter("value > 0")
     ranks = propagate(edges, seeds, damping, rounds)
     scores = ranks.groupBy("host").agg(
-        *(F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0)), 9).alias(k) for k in ("trust", "distrust"))
+        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust"))
     )
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    by_graph = F.when(distrust > ratio * trust + margin, F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    by_graph = F.when(distrust - ratio * trust > margin * (distrust + ratio * trust), F.lit("block")).otherwise(F.lit("allow"))
+    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust"))

@@ -87,3 +87,18 @@ def test_empty_table_and_plan_without_python(spark):
     out = urlfilter.judge(df, urlfilter.rule_table(spark, URL_RULES))
     assert out.count() == 0
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_verdicts_do_not_depend_on_the_number_of_links(spark):
+    for k in (1, 13, 200):
+        pages = [(0, "http://bad.com/de/", None)] + [(i, f"http://h{i}.net/", '<a href="http://bad.com/de/">') for i in range(1, k + 1)]
+        pages.append((k + 1, "http://clean.net/", None))
+        df = spark.createDataFrame(pages, "page_id long, url string, html string")
+        got = {r.page_id: r.verdict for r in urlfilter.judge(df, urlfilter.rule_table(spark, URL_RULES)).collect()}
+        assert [got[i] for i in range(k + 2)] == ["block"] * (k + 1) + ["allow"]
+
+
+def test_one_blocked_page_in_twenty_tells_without_trust(spark):
+    pages = [(0, "http://h.com/de/", None)] + [(i, "http://h.com/x", None) for i in range(1, 21)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.verdict for r in urlfilter.judge(df, urlfilter.rule_table(spark, URL_RULES)).collect()} == {"block"}
