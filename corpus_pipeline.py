@@ -7,7 +7,7 @@ Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlake.llm import decontaminate, jaccard, packing, quality, surrogates
@@ -17,26 +17,45 @@ from eventlake.llm.scratch import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not rejected; a null id stays."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with row_key, a 64-bit hash of all columns and of which are null: rows share it only if they are alike.
+
+    Stages judge and drop rows by it, since ids may repeat or be null.
+    """
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)).alias("row_key"))
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose row_key is not the ``doc_id`` of a row of ``rejected``."""
+    return keyed.join(rejected.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _without(docs, quality.judge(docs).filter("not kept"))
+    keyed = _keyed(docs)
+    return _without(keyed, quality.judge(keyed, id_col="row_key").filter("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: five-word shingles, similarity 0.8."""
-    found = jaccard.classes(docs, n=5, num=80, den=100)
-    return _without(docs, found.filter("doc_id <> component_id"))
+    """One row of each class of near duplicates stays: five-word shingles, similarity 0.8.
+
+    It is a row of the least doc_id, nulls last. Rows without words are in no class and stay.
+    """
+    keyed = _keyed(docs)
+    found = jaccard.classes(keyed, n=5, num=80, den=100, id_col="row_key", count_links=False).select(F.col("doc_id").alias("row_key"), "n_shingles", "component_id")
+    ids = keyed.select("row_key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    best = found.join(ids, "row_key").groupBy("component_id").agg(first.alias("first"), (F.max("n_shingles") > 0).alias("worded"))
+    stay = keyed.join(best.select(F.col("first.row_key").alias("row_key"), "worded"), "row_key")
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    return stay.withColumn("nth", nth).filter("nth = 1 or not worded").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.leaks(docs, benchmark))
+    keyed = _keyed(docs)
+    return _without(keyed, decontaminate.leaks(keyed, benchmark, id_col="row_key", least_chars=1))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,3 +128,23 @@ def test_query_returns_its_columns(spark, name):
         assert sorted(names) == sorted(df.columns)
         key = lambda r: tuple(map(str, r))
         assert sorted((tuple(r[c] for c in names) for r in rows), key=key) == sorted(result.fetchall(), key=key)
+
+
+def test_rows_with_repeated_and_null_ids_are_judged_each(spark):
+    prose = lambda k: " ".join(f"{k}{w}{i}" for i in range(30) for w in ("stone", "river", "light"))
+    rows = [(1, prose("a"), "en", "s", 1), (1, prose("a"), "en", "s", 1), (1, prose("b"), "en", "s", 1), (1, "too short", "en", "s", 1)]
+    rows += [(None, prose("c"), "en", "s", 1), (None, prose("c"), "en", "s", 1), (None, prose("d"), None, None, None), (None, "too short", "en", "s", 1), (5, prose("d"), "en", "s", 1), (5, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    good = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert sorted(r.text[:6] for r in good.collect()) == sorted(t[:6] for _, t, *_ in rows if t and t != "too short")
+    one = corpus_pipeline.near_duplicates(spark, good, SF).collect()
+    assert sorted((r.text[:6], str(r.doc_id)) for r in one) == [("astone", "1"), ("bstone", "1"), ("cstone", "None"), ("dstone", "5")]
+
+
+def test_decontamination_drops_only_the_rows_that_leak(spark, tmp_path):
+    item = "what is the capital of the country that lies north of the river"
+    rows = [(1, f"x {item} y", "en", "s", 1), (1, "a clean text", "en", "s", 1), (None, f"x {item} y", "en", "s", 1), (None, "a clean text", "en", "s", 1), (2, "so 2+2=4", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item), (2, "2+2=4")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["1", "None"] and {r.text for r in left} == {"a clean text"}
