@@ -175,6 +175,21 @@ def contiguous_commit(spark, sf_dir):
     return L.contiguous_prefix(log.select("partition", "offset", "done"), ["partition"], "offset", "done")
 
 
+@register("segment_lookup_whole", f"WITH {LOG}, {SEGMENTS} SELECT p.partition, p.\"offset\", event_id, base FROM log p ASOF LEFT JOIN seg ON p.partition = seg.partition AND p.\"offset\" >= seg.base")
+def segment_lookup_whole(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    seg = log.groupBy("partition", F.expr("offset div 100").alias("s")).agg(F.min("offset").alias("base")).select("partition", F.col("base").alias("offset"), "base")
+    return L.floor_join(log.select("partition", "offset", "event_id"), seg, ["partition"], "offset", "base")
+
+
+@register("offset_index_floor_whole", f"WITH {LOG}, ix AS (SELECT partition, \"offset\" AS o, \"offset\" * 64 AS position FROM log WHERE \"offset\" % 50 = 49) SELECT p.partition, p.\"offset\", coalesce(position, 0) AS position FROM log p ASOF LEFT JOIN ix ON p.partition = ix.partition AND p.\"offset\" >= ix.o")
+def offset_index_floor_whole(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    index = log.filter("offset % 50 = 49").select("partition", "offset", (F.col("offset") * 64).alias("position"))
+    found = L.floor_join(log.select("partition", "offset"), index, ["partition"], "offset", "position")
+    return found.withColumn("position", F.coalesce("position", F.lit(0).cast("bigint")))
+
+
 @register("mirror_translation", f"WITH {LOG}, m AS (SELECT partition, \"offset\" AS source, row_number() OVER (PARTITION BY partition ORDER BY \"offset\") - 1 AS target FROM log WHERE event_type <> 'view') SELECT * FROM m")
 def mirror_translation(spark, sf_dir):
     copied = event_log(spark, sf_dir).filter("event_type <> 'view'").select("partition", F.col("offset").alias("source"))
@@ -189,6 +204,14 @@ def checkpoint_translation(spark, sf_dir):
     return found.select("partition", "offset", "c.target", (F.col("offset") - F.col("c.s")).alias("reprocessing"))
 
 
+@register("checkpoint_translation_whole", f"WITH {LOG}, c AS (SELECT partition, \"offset\" AS s, \"offset\" * 2 + 5 AS target FROM log WHERE \"offset\" % 40 = 0) SELECT l.partition, l.\"offset\", target, l.\"offset\" - s AS reprocessing FROM log l ASOF LEFT JOIN c ON l.partition = c.partition AND l.\"offset\" >= c.s")
+def checkpoint_translation_whole(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    points = log.filter("offset % 40 = 0").select("partition", "offset", F.struct(F.col("offset").alias("s"), (F.col("offset") * 2 + 5).alias("target")).alias("c"))
+    found = L.floor_join(log.select("partition", "offset"), points, ["partition"], "offset", "c")
+    return found.select("partition", "offset", "c.target", (F.col("offset") - F.col("c.s")).alias("reprocessing"))
+
+
 @register("outbox_unpublished", "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def outbox_unpublished(spark, sf_dir):
     published = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
