@@ -22,6 +22,12 @@ def topological_layers(spark, sf_dir):
     return G.layers(_edges(spark, sf_dir))
 
 
+@register("topological_layers_whole")
+def topological_layers_whole(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return G.layers(p.select(F.col("p_size").cast("bigint").alias("src"), (F.col("p_size") + 1 + F.col("p_partkey") % 3).alias("dst")).distinct())
+
+
 PAIRS = "h AS (SELECT DISTINCT c_custkey AS src, c_custkey + 1 + c_nationkey % 2 AS dst FROM customer WHERE c_nationkey % 3 = 0)"
 
 
@@ -31,6 +37,12 @@ def connected_components(spark, sf_dir):
     return G.components(c.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1 + F.col("c_nationkey") % 2).alias("dst")).distinct())
 
 
+@register("connected_components_whole")
+def connected_components_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return G.components(c.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1 + F.col("c_nationkey") % 2).alias("dst")).distinct())
+
+
 CLOCKS = "v AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'view') AS a, count(*) FILTER (WHERE event_type = 'click') AS b, count(*) FILTER (WHERE event_type = 'purchase') AS c FROM events GROUP BY 1)"
 
 

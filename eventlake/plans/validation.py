@@ -189,6 +189,12 @@ def priority_order(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_custkey % 10 = 0").select("o_orderpriority", "o_orderkey", rn.cast("bigint").alias("position"))
 
 
+@register("priority_order_whole", "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS position FROM orders")
+def priority_order_whole(spark, sf_dir):
+    rn = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", rn.cast("bigint").alias("position"))
+
+
 @register("static_owners", "SELECT p_partkey AS partition, CASE p_partkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS owner, p_partkey % 4 IN (1, 3) AS unconsumed FROM part")
 def static_owners(spark, sf_dir):
     owners = spark.createDataFrame([(0, "a", True), (1, "b", False), (2, "c", True)], "slot bigint, owner string, present boolean")
