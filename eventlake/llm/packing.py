@@ -86,20 +86,28 @@ def _exchange(donor: Bin, taker: Bin, capacity: int) -> tuple[int, tuple[int, ..
     return found
 
 
-def improve(bins: Counter[Bin], capacity: int, steps: int = 20_000) -> Counter[Bin]:
-    """Local search until the bins are as few as their sum allows, nothing helps, or ``steps`` end."""
+def improve(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
+    """Local search until the bins are as few as their sum allows or no exchange helps.
+
+    Every exchange raises the sum of squared fills, so the search ends. An exchange depends on the
+    two contents alone: pairs without one are remembered and not tried again.
+    """
     bins = Counter({b: n for b, n in bins.items() if n})
     least = -(-sum(_fill(b) * n for b, n in bins.items()) // capacity)
-    while steps and sum(bins.values()) > least:
+    barren: dict[Bin, set[Bin]] = {}
+    while sum(bins.values()) > least:
         types = sorted((b for b in bins if _fill(b) < capacity), key=lambda b: (_fill(b), b))
         for i, donor in enumerate(types):
-            steps -= 1
-            takers = types[i + 1 :][::-1] + ([donor] if bins[donor] > 1 else [])
-            step = next(((t, e) for t in takers if (e := _exchange(donor, t, capacity))), None)
+            tried, step = barren.setdefault(donor, set()), None
+            for taker in types[i + 1 :][::-1] + ([donor] if bins[donor] > 1 else []):
+                if taker in tried:
+                    continue
+                if e := _exchange(donor, taker, capacity):
+                    step = taker, e
+                    break
+                tried.add(taker)
             if step:
                 break
-            if not steps:
-                return bins
         else:
             return bins
         taker, (a, back) = step

@@ -84,3 +84,15 @@ def test_pack_against_the_tokenizer(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(docs, PATH).count() == 0
+
+
+def test_local_search_ends_only_when_nothing_helps():
+    # many donors that nothing takes from come before those that exchange
+    rng = random.Random(1)
+    bins = Counter({((a, 1),): 1 for a in range(600, 800)})
+    for _ in range(70):
+        x, y = sorted((rng.randint(470, 495), rng.randint(470, 495)), reverse=True)
+        bins[((x, 1), (y, 1)) if x != y else ((x, 2),)] += 1
+    better = packing.improve(bins, 1000)
+    types = sorted((b for b in better if packing._fill(b) < 1000), key=lambda b: (packing._fill(b), b))
+    assert not any(packing._exchange(d, t, 1000) for i, d in enumerate(types) for t in [*types[i + 1 :], *([d] if better[d] > 1 else [])])
