@@ -1,11 +1,13 @@
 """Vectorised work on Arrow string columns: words, and 64-bit hashes of any byte span.
 
-The hash of a span is a polynomial over a fixed random table of byte values, modulo 2^64,
-taken from prefix sums, so that every span of a slice costs a few array operations.
+The hash of a span is a polynomial over its bytes modulo the prime 2^61 - 1, taken from prefix
+sums, so that every span of a slice costs a few array operations. Two different spans of n bytes
+meet for at most n of the 2^61 bases; modulo a power of two some pairs would meet for every base.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +20,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_P = (1 << 61) - 1
+_BASE = 0x1D3A9F4C6B87E25B % _P
+_INVERSE = pow(_BASE, -1, _P)
+#: The longest span that prefix sums hold without a carry; longer ones are hashed by themselves.
+_LONGEST = 1 << 22
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,22 +76,59 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _times(x: np.ndarray, y1: np.ndarray, y0: np.ndarray) -> np.ndarray:
+    """``x * (y1 * 2^31 + y0)`` modulo 2^61 - 1, by halves; x is at most a little above 2^61."""
+    x1, x0 = x >> np.uint64(31), x & np.uint64(0x7FFFFFFF)
+    middle = x1 * y0 + x0 * y1
+    # 2^62 is 2, and middle * 2^31 is its upper part and its lower 30 bits 31 places up
+    out = x1 * y1
+    out <<= np.uint64(1)
+    out += x0 * y0
+    out += middle >> np.uint64(30)
+    out += (middle & np.uint64(0x3FFFFFFF)) << np.uint64(31)
+    out = (out & np.uint64(_P)) + (out >> np.uint64(61))
+    out[out >= np.uint64(_P)] -= np.uint64(_P)
+    return out
+
+
+def _grown(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        step = pow(base, len(out), _P)
+        out = np.concatenate([out, _times(out, np.uint64(step >> 31), np.uint64(step & 0x7FFFFFFF))])
+    return out[:n]
+
+
 class Spans:
     """Hashes of spans of ``data``."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        if len(_powers[0]) < n:
+        self.data, n = data, len(data) + 1
+        if not _powers or len(_powers[0]) < n:
             size = max(n, SLICE_BYTES + 1)
-            for i, base in enumerate((_BASE, _INVERSE)):
-                step = np.full(size, base, np.uint64)
-                step[0] = 1
-                _powers[i] = np.cumprod(step)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_VALUE[data] * _powers[0][: n - 1], out=self.sums[1:])
+            power, back = _grown(_BASE, size), _grown(_INVERSE, size)
+            _powers[:] = [power & np.uint64(0xFFFFFFFF), power >> np.uint64(32), back >> np.uint64(31), back & np.uint64(0x7FFFFFFF)]
+        value = data.astype(np.uint64)
+        value += np.uint64(1)
+        self.low, self.high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for sums, power in ((self.low[1:], _powers[0]), (self.high[1:], _powers[1])):
+            np.multiply(value, power[: n - 1], out=sums)
+            np.cumsum(sums, out=sums)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * _powers[1][start] + (end - start).astype(np.uint64))
+        high, low = self.high[end] - self.high[start], self.low[end] - self.low[start]
+        # high * 2^32: what lies above 29 bits comes back at the bottom
+        total = (high & np.uint64(0x1FFFFFFF)) << np.uint64(32)
+        total += high >> np.uint64(29)
+        total += low & np.uint64(_P)
+        total += low >> np.uint64(61)
+        total = (total & np.uint64(_P)) + (total >> np.uint64(61))
+        length = end - start
+        out = mix(_times(total, _powers[2][start], _powers[3][start]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for i in np.flatnonzero(length > _LONGEST):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
