@@ -142,7 +142,7 @@ def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeated strings of 400 bytes leave of every document."""
+    """What repeated strings of 400 bytes leave of every document; n_repeated counts what repeats by 256 bytes."""
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")

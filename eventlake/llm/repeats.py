@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 
 from eventlake.llm.bytetext import Spans, distinct_of, mix, slices
 from eventlake.llm.katz import _join, _split, pack, part_of, unpack
-from eventlake.llm.scratch import written
+from eventlake.llm.scratch import release, written
 
 LENGTH = 400
+#: Bytes of the shorter strings that are counted, not removed: passages of some fifty words.
+REPORT = 256
 WINDOW = 128
 HOT = 20_000
 BLOCK_BYTES = 8 << 20
@@ -51,10 +53,13 @@ _NONE = 255
 class Shape:
     """The lengths that belong together."""
 
-    def __init__(self, length: int = LENGTH, window: int = WINDOW):
-        if window & (window - 1) or not 8 <= window <= 128 or length < window + 8:
-            raise ValueError("the window must be a power of two from 8 to 128, and the length greater by 8 at least")
-        self.length, self.window, self.sure = length, window, length - window + 1
+    def __init__(self, length: int = LENGTH, window: int = WINDOW, report: int = REPORT):
+        report = min(length, report)
+        if window & (window - 1) or not 8 <= window <= 128 or report < window + 8:
+            raise ValueError("the window must be a power of two from 8 to 128, and both lengths greater by 8 at least")
+        self.length, self.window, self.report, self.sure = length, window, report, report - window + 1
+        #: The lengths of strings that are looked for.
+        self.lengths = (length, report) if report < length else (length,)
 
 
 # --- blocks ---------------------------------------------------------------------------------
@@ -96,13 +101,16 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, shape: Shape) -> np.ndarray:
-    """The anchors of all strings of ``shape.length`` bytes in texts that lie one after another."""
+    """The anchors of all strings of ``shape.report`` bytes in texts that lie one after another.
+
+    Longer strings have theirs among them.
+    """
     n = len(data)
-    if n < shape.length:
+    if n < shape.report:
         return np.zeros(0, np.int64)
     out, step = [], 1 << 20
-    for first in range(0, n - shape.length + 1, step):
-        stop = min(first + step, n - shape.length + 1)  # strings that start in first..stop-1
+    for first in range(0, n - shape.report + 1, step):
+        stop = min(first + step, n - shape.report + 1)  # strings that start in first..stop-1
         part = data[first : stop + shape.window + 7]
         grams = np.zeros(len(part) - 7, np.uint64)
         for k in range(8):
@@ -115,9 +123,9 @@ def anchors(data: np.ndarray, off: np.ndarray, shape: Shape) -> np.ndarray:
         out.append((least[: stop - first] & np.uint64(0xFFFFFFFF)).astype(np.int64) + first)
     found = np.concatenate(out)
     valid = np.zeros(n + 1, np.int32)  # +1 where a text's strings begin, -1 behind their last
-    long = np.diff(off) >= shape.length
+    long = np.diff(off) >= shape.report
     np.add.at(valid, off[:-1][long], 1)
-    np.add.at(valid, off[1:][long] - shape.length + 1, -1)
+    np.add.at(valid, off[1:][long] - shape.report + 1, -1)
     found = found[np.cumsum(valid[: len(found)]) > 0]
     return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
@@ -204,16 +212,6 @@ def _answers(table: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint32), *(unpack(r["body"], np.uint32) for r in sorted(table.to_pylist(), key=lambda r: r["part"]))])
 
 
-def _strings(found: Anchored, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, distance, hash) of the strings around the hot anchors; a string is listed once."""
-    shape = found.shape
-    distance = np.arange(shape.window)
-    fits = (distance <= found.left[hot, None]) & (shape.length - distance <= found.right[hot, None])
-    which, j = np.nonzero(fits)
-    start = found.at[hot[which]] - j
-    return hot[which], j, _hashes(found.data, start, start + shape.length)
-
-
 def _state(found: Anchored, answers: np.ndarray, hot: int) -> np.ndarray:
     """0 for anchors that are alone, 1 for those to merge, 2 for hot ones."""
     _, _, place = distinct_of(found.hash)
@@ -269,7 +267,7 @@ def _cut(shape: Shape, parts: int, hot: int):
             state = _state(found, _answers(right), hot)
             own = _runs(found, np.flatnonzero(state == 1), row["block"], parts)
             if (state == 2).any():
-                distinct, _, place = distinct_of(_strings_once(found, np.flatnonzero(state == 2))[1])
+                distinct, _, place = distinct_of(_strings_once(found, np.flatnonzero(state == 2))[2])
                 strings = _counts_by_part(distinct, np.minimum(np.bincount(place), 2), row["block"], parts)
             else:
                 strings = []
@@ -280,12 +278,16 @@ def _cut(shape: Shape, parts: int, hot: int):
     return run
 
 
-def _strings_once(found: Anchored, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each different place of a string around hot anchors."""
-    which, j, hashes = _strings(found, hot)
-    start = found.at[which] - j
-    start, first = np.unique(start, return_index=True)
-    return start, hashes[first]
+def _strings_once(found: Anchored, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, hash) of the strings of each length around hot anchors; a string is listed once."""
+    shape, out = found.shape, []
+    distance = np.arange(shape.window)
+    for length in shape.lengths:
+        fits = (distance <= found.left[hot, None]) & (length - distance <= found.right[hot, None])
+        which, j = np.nonzero(fits)
+        start = np.unique(found.at[hot[which]] - j)
+        out.append((start, np.full(len(start), length), _hashes(found.data, start, start + length)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 # --- merge ----------------------------------------------------------------------------------
@@ -369,16 +371,15 @@ def _ranges(shared: np.ndarray, deep: int) -> np.ndarray:
     return np.cumsum(np.concatenate([[0], shared[1:] < deep])) if len(shared) else shared
 
 
-def occurrences(shared: np.ndarray, left: np.ndarray, left_length: np.ndarray, right_length: np.ndarray, several: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(shared: np.ndarray, left: np.ndarray, left_length: np.ndarray, right_length: np.ndarray, several: np.ndarray, shape: Shape) -> list[np.ndarray]:
     """The least and greatest distance at which a string around each anchor occurs again; 255 for none.
 
-    Rows are anchors in the order of their suffixes. The string at distance j has j bytes before
-    the anchor and length - j behind it.
+    Two arrays for each of ``shape.lengths``. Rows are anchors in the order of their suffixes. The
+    string at distance j has j bytes before the anchor and length - j behind it.
     """
     n = len(shared)
-    low, high = np.full(n, _NONE, np.uint8), np.full(n, _NONE, np.uint8)
     if not n:
-        return low, high
+        return [np.zeros(0, np.uint8)] * (2 * len(shape.lengths))
     by_left = np.argsort(left.view(f"S{left.shape[1]}").ravel(), kind="stable")
     left_shared = _shared(left[by_left])
     # rows of one context are alike at every distance: one of them stands for all
@@ -387,31 +388,31 @@ def occurrences(shared: np.ndarray, left: np.ndarray, left_length: np.ndarray, r
     key = _ranges(shared, shape.length) * np.int64(n) + whole
     _, first, which = distinct_of(((key * 512 + left_length) * 512 + right_length).astype(np.uint64))
     copies = np.bincount(which) + np.bincount(which, several)
-    nearest, farthest = shape.length - right_length[first], left_length[first]
-    lo, hi = np.full(len(first), _NONE, np.int64), np.full(len(first), -1, np.int64)
-    full = (copies > 1) & (nearest <= farthest)
-    lo[full], hi[full] = nearest[full], farthest[full]
-    # groups in which all are done, or which have one context, need no more
     group = _ranges(shared, shape.sure)[first]
-    open_groups = np.bincount(group, ~full, minlength=group.max() + 1) > 0
-    open_groups &= np.bincount(group, minlength=group.max() + 1) > 1
-    todo = np.flatnonzero(open_groups[group])
-    if len(todo):
-        rows = first[todo]
-        rank = np.empty(n, np.int64)
-        for j in range(shape.window):
+    rank, out = np.empty(n, np.int64), []
+    for length in shape.lengths:
+        nearest, farthest = np.maximum(length - right_length[first], 0), left_length[first]
+        lo, hi = np.full(len(first), _NONE, np.int64), np.full(len(first), -1, np.int64)
+        full = (copies > 1) & (nearest <= farthest)
+        lo[full], hi[full] = nearest[full], farthest[full]
+        # groups in which all are done, or which have one context, need no more
+        open_groups = np.bincount(group, ~full & (nearest <= farthest), minlength=group.max() + 1) > 0
+        open_groups &= np.bincount(group, minlength=group.max() + 1) > 1
+        todo = np.flatnonzero(open_groups[group])
+        for j in range(shape.window if len(todo) else 0):
             fits = (farthest[todo] >= j) & (nearest[todo] <= j)
             if not fits.any():
                 continue
             rank[by_left] = _ranges(left_shared, j)
             own = todo[fits]
-            pair = _ranges(shared, shape.length - j)[rows[fits]] * np.int64(n) + rank[rows[fits]]
+            rows = first[own]
+            pair = _ranges(shared, length - j)[rows] * np.int64(n) + rank[rows]
             _, _, place = distinct_of(pair.astype(np.uint64))
             again = own[np.bincount(place)[place] > 1]
             lo[again], hi[again] = np.minimum(lo[again], j), np.maximum(hi[again], j)
-    found = hi >= 0
-    low[:], high[:] = np.where(found, lo, _NONE)[which], np.where(found, hi, _NONE)[which]
-    return low, high
+        found = hi >= 0
+        out += [np.where(found, lo, _NONE)[which].astype(np.uint8), np.where(found, hi, _NONE)[which].astype(np.uint8)]
+    return out
 
 
 def _merge_part(shape: Shape):
@@ -436,11 +437,12 @@ def _merge_part(shape: Shape):
         left_length = np.concatenate([unpack(b[3], np.uint8) for b in bodies]).astype(np.int64)
         right_length = np.concatenate([unpack(b[4], np.uint16) for b in bodies]).astype(np.int64)
         several = np.concatenate([unpack(b[5], np.uint8) for b in bodies])
-        low, high = occurrences(np.array(shared, np.int64), np.ascontiguousarray(left[perm]), left_length[perm], right_length[perm], several[perm], shape)
-        back_low, back_high = np.empty_like(low), np.empty_like(high)
-        back_low[perm], back_high[perm] = low, high
+        back = []
+        for x in occurrences(np.array(shared, np.int64), np.ascontiguousarray(left[perm]), left_length[perm], right_length[perm], several[perm], shape):
+            back.append(np.empty_like(x))
+            back[-1][perm] = x
         out = [
-            (r["part"], r["block"], _join([pack(back_low[a : a + n]), pack(back_high[a : a + n]), b[6], b[7]]))
+            (r["part"], r["block"], _join([b[6], b[7], *(pack(x[a : a + n]) for x in back)]))
             for r, b, a, n in zip(rows, bodies, begin.tolist(), sizes.tolist(), strict=True)
         ]
         return _asked(out)
@@ -448,37 +450,53 @@ def _merge_part(shape: Shape):
     return run
 
 
+def _answer(shape: Shape):
+    """Merges the runs (kind 0) or sums the strings (kind 1) of a part."""
+    merged = _merge_part(shape)
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, asked = table.column("kind")[0].as_py(), table.drop_columns(["kind"])
+        out = _sum_asked(asked) if kind else merged(asked)
+        return out.append_column("kind", pa.array([kind] * out.num_rows, pa.int32()))
+
+    return run
+
+
 # --- cover ----------------------------------------------------------------------------------
 
-RESULT = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary, n_repeated long"
 
 
 def _cover(shape: Shape, hot: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        types, names = [pa.int64(), pa.int64(), span, pa.binary()], ["doc_id", "n_bytes", "spans", "kept"]
+        types, names = [pa.int64(), pa.int64(), span, pa.binary(), pa.int64()], ["doc_id", "n_bytes", "spans", "kept", "n_repeated"]
         tables = []
         for row in left.to_pylist():
             data, off = _opened(row)
-            change = np.zeros(len(data) + 1, np.int32)
+            change = {length: np.zeros(len(data) + 1, np.int32) for length in shape.lengths}
             replies = right.to_pylist()
             for r in replies:
                 if r["kind"] == 0:
-                    low, high, at, which = _split(r["body"])
-                    low, high = unpack(low, np.uint8).astype(np.int64), unpack(high, np.uint8).astype(np.int64)
+                    at, which, *ends = _split(r["body"])
                     at, which = unpack(at, np.uint64, True).astype(np.int64), unpack(which, np.uint32)
-                    again = low[which] != _NONE
-                    np.add.at(change, at[again] - high[which[again]], 1)
-                    np.add.at(change, at[again] - low[which[again]] + shape.length, -1)
+                    for i, length in enumerate(shape.lengths):
+                        low, high = (unpack(x, np.uint8).astype(np.int64)[which] for x in ends[2 * i : 2 * i + 2])
+                        again = low != _NONE
+                        np.add.at(change[length], at[again] - high[again], 1)
+                        np.add.at(change[length], at[again] - low[again] + length, -1)
             if any(r["kind"] == 1 for r in replies):
                 found = Anchored(data, off, shape)
                 answers = _answers(right.filter(pa.compute.equal(right.column("kind"), 2)))
-                start, hashes = _strings_once(found, np.flatnonzero(_state(found, answers, hot) == 2))
+                start, size, hashes = _strings_once(found, np.flatnonzero(_state(found, answers, hot) == 2))
                 _, _, place = distinct_of(hashes)
-                start = start[_answers(right.filter(pa.compute.equal(right.column("kind"), 1)))[place] > 1]
-                np.add.at(change, start, 1)
-                np.add.at(change, start + shape.length, -1)
-            gone = np.cumsum(change[:-1]) > 0
+                again = _answers(right.filter(pa.compute.equal(right.column("kind"), 1)))[place] > 1
+                for length in shape.lengths:
+                    own = start[again & (size == length)]
+                    np.add.at(change[length], own, 1)
+                    np.add.at(change[length], own + length, -1)
+            gone = np.cumsum(change[shape.length][:-1]) > 0
+            repeated = np.concatenate([[0], np.cumsum(np.cumsum(change[shape.report][:-1]) > 0)])[off]
             edge = np.zeros(len(data) + 1, bool)
             edge[off] = True
             before = np.concatenate([[False], gone[:-1]]) if len(gone) else gone
@@ -491,30 +509,30 @@ def _cover(shape: Shape, hot: int):
             spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
             kept_at = np.concatenate([[0], np.cumsum(~gone)])[off]
             kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(kept_at.astype(np.int64)), pa.py_buffer(data[~gone])]).cast(pa.binary())
-            tables.append(pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(np.diff(off)), spans.cast(span), kept], names=names))
+            tables.append(pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(np.diff(off)), spans.cast(span), kept, pa.array(np.diff(repeated).astype(np.int64))], names=names))
         return pa.concat_tables(tables) if tables else pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every document.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", report: int = REPORT) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept, n_repeated) of every document.
 
     ``spans`` are the maximal runs of bytes covered by strings of ``length`` bytes that start
     anywhere else in the input too, in another text or, overlapping or not, in the same; ``kept`` is
-    the rest of the UTF-8 bytes. Strings never cross texts. A null text is empty. Texts shorter
+    the rest of the UTF-8 bytes. ``n_repeated`` counts the bytes covered by the shorter strings of
+    ``report`` bytes that start anywhere else too (``length`` if that is less); they are counted, and
+    removed only where ``spans`` has them. Strings never cross texts. A null text is empty. Texts shorter
     than ``length`` lose nothing; rows that repeat, or repeat an id, are texts each. Other columns
     are not read; an empty table gives no rows.
     """
-    shape = Shape(length, window)
+    shape = Shape(length, window, report)
     slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     blocks = written(slim.mapInArrow(_blocks, BLOCK))
     parts = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
     alike = written(blocks.mapInArrow(_ask_anchors(shape, parts), ASKED).groupBy("part").applyInArrow(_sum_asked, ASKED))
-    cut = written(blocks.groupBy("block").cogroup(alike.groupBy("block")).applyInArrow(_cut(shape, parts, hot), ASKED + ", kind int"))
-    merged = cut.filter("kind = 0").drop("kind").groupBy("part").applyInArrow(_merge_part(shape), ASKED).withColumn("kind", F.lit(0))
-    again = cut.filter("kind = 1").drop("kind").groupBy("part").applyInArrow(_sum_asked, ASKED).withColumn("kind", F.lit(1))
-    # the answers on anchors are needed again only where strings around hot ones were asked for
-    stated = alike.join(cut.filter("kind = 1").select("block").distinct(), "block", "left_semi").select("part", "block", "body").withColumn("kind", F.lit(2))
-    replies = merged.unionByName(again).unionByName(stated)
+    release(docs.sparkSession)
+    cut = blocks.groupBy("block").cogroup(alike.groupBy("block")).applyInArrow(_cut(shape, parts, hot), ASKED + ", kind int")
+    # one exchange takes runs and strings to their parts; the answers on anchors are needed again beside strings
+    replies = cut.groupBy("kind", "part").applyInArrow(_answer(shape), ASKED + ", kind int").unionByName(alike.withColumn("kind", F.lit(2)))
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cover(shape, hot), RESULT)

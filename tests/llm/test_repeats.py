@@ -53,15 +53,17 @@ def corpus(seed, length):
     return texts
 
 
-@pytest.mark.parametrize(("length", "window", "hot", "seed"), [(400, 128, 20_000, 1), (60, 32, 20_000, 2), (60, 32, 5, 3), (40, 16, 0, 4)])
-def test_removal_equals_brute_force(spark, monkeypatch, length, window, hot, seed):
+@pytest.mark.parametrize(("length", "window", "hot", "seed", "report"), [(400, 128, 20_000, 1, 256), (60, 32, 20_000, 2, 45), (60, 32, 5, 3, 48), (40, 16, 0, 4, 30), (40, 16, 3, 5, 90)])
+def test_removal_equals_brute_force(spark, monkeypatch, length, window, hot, seed, report):
     monkeypatch.setattr(repeats, "PART_BYTES", 6000)
     texts = corpus(seed, length)
     rows = [(i % 70, t, 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int").repartition(4)
-    got = repeats.remove_repeats(df, length, window, hot).collect()
-    want = sorted((i % 70, len(b), runs(g), bytes(x for x, y in zip(b, g, strict=True) if not y)) for i, (b, g) in enumerate(brute(texts, length)))
-    assert sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got) == want
+    got = repeats.remove_repeats(df, length, window, hot, report=report).collect()
+    shorter = [sum(g) for _, g in brute(texts, min(report, length))]
+    want = sorted((i % 70, len(b), runs(g), bytes(x for x, y in zip(b, g, strict=True) if not y), shorter[i]) for i, (b, g) in enumerate(brute(texts, length)))
+    assert sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept), r.n_repeated) for r in got) == want
+    assert report >= length or sum(shorter) > sum(s[1] - s[0] for w in want for s in w[2])
     assert sum(len(w[2]) for w in want) > 20
 
 
