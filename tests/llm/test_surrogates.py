@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from eventlake.llm import surrogates
@@ -65,7 +67,7 @@ def test_clean_texts_stay(got):
 def test_collisions_are_resolved(spark, monkeypatch):
     # A narrow space: addresses of one private network, a sixth of it in use.
     real = surrogates._ip
-    monkeypatch.setattr(surrogates, "_ip", lambda c, d: F.when(c.startswith("10.0.0."), F.concat(F.lit("10.0.0."), (surrogates._byte(d, F.lit(1)) % 254 + 1).cast("string"))).otherwise(real(c, d)))
+    monkeypatch.setattr(surrogates, "_ip", lambda c, d, a: F.when(c.startswith("10.0.0."), F.concat(F.lit("10.0.0."), (surrogates._byte(d, F.lit(1)) % 254 + 1).cast("string"))).otherwise(real(c, d, a)))
     texts = [f"host 10.0.0.{i} x" for i in range(1, 41)]
     df = spark.createDataFrame(list(enumerate(texts)) + [(500, texts[3] + " " + texts[5])], "doc_id long, text string")
     out = {r.doc_id: re.findall(r"10\.0\.0\.\d+", r.text) for r in surrogates.replace(df, "k").collect()}
@@ -80,3 +82,102 @@ def test_key_matters_and_no_python(spark):
     assert a.first().text != b.first().text
     assert not re.search("Python|Pandas|Arrow", a._jdf.queryExecution().executedPlan().toString())
     assert surrogates.replace(df.limit(0), "k").count() == 0
+
+
+def test_later_mentions_of_a_name_follow_its_surrogate(spark):
+    texts = [
+        "Mr. John Smith paid. Smith then left, and John Smith returned. SMITH! Smithson, smith",
+        "Dr. Smith and Prof. Dr. Anna Ivanova-Petrova; Frau Dr. Müller; Ms Müller", "Smith alone, without a form of address, is no mention",
+        "Mr Παπαδόπουλος met κυρία Παπαδόπουλος", "господин Иванов и Иванов", "Mr Պետրոսյան",
+    ]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, `a.b` int").withColumn("new", F.lit("x")).withColumn("digest", F.lit("y")).withColumn("later", F.lit(None))
+    rows = {r.doc_id: r for r in surrogates.replace(df, "k").collect()}
+    got = [rows[i].text for i in range(len(texts))]
+    given, family = re.match(r"Mr\. (\w+) (\w+) ", got[0]).groups()
+    assert got[0] == f"Mr. {given} {family} paid. {family} then left, and {given} {family} returned. {family.upper()}! Smithson, smith"
+    assert "Smith" not in got[0].replace("Smithson", "") and "John" not in got[0]
+    m = re.fullmatch(r"Dr\. (\w+) and Prof\. Dr\. (\w+) (\w+); Frau Dr\. (\w+); Ms (\w+)", got[1])
+    assert m[1] == family and m[4] == m[5] != "Müller" and m[2].endswith(tuple(surrogates.ENDINGS["latin", "given_n"]))
+    assert got[2] == texts[2]
+    a, b = re.fullmatch(r"Mr (\w+) met κυρία (\w+)", got[3]).groups()
+    assert a == b and all("α" <= c <= "ω" for c in a[1:].lower())
+    a, b = re.fullmatch(r"господин (\w+) и (\w+)", got[4]).groups()
+    assert a == b != "Иванов"
+    assert re.fullmatch("Mr [Ա-Ֆ][ա-և]+", got[5])
+    assert all((r["a.b"], r.new, r.digest, r.later) == (7, "x", "y", None) for r in rows.values())
+
+
+def test_machine_addresses(spark):
+    text = "00:1A:2b:3C:4d:5E or 00-1a-2b-3c-4d-5e, 2001:0db8:85a3:0000:0000:8a2e:0370:7334 fe80:1::1ff:fe23:4567 at 12:30:45"
+    r = surrogates.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    m = re.fullmatch(r"(00(?::[0-9A-Fa-f]{2}){5}) or (00(?:-[0-9a-f]{2}){5}), (2001(?::[0-9a-f]{4}){7}) (fe80:[0-9a-f]::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}) at 12:30:45", r.text)
+    assert m and m[1].lower() == m[2].replace("-", ":") and r.pii_types == ["mac", "mac", "ipv6", "ipv6"]
+
+
+def test_a_full_private_network_moves_to_a_wider_one(spark, monkeypatch):
+    real = surrogates._byte
+    # few values: every address of 192.168.x.y maps to one of 16 in it
+    monkeypatch.setattr(surrogates, "_byte", lambda d, i: real(d, i) % 4)
+    texts = [f"host 192.168.{i}.{i + 1} x" for i in range(40, 70)]
+    got = [re.search(r"[\d.]{7,}", r.text)[0] for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()]
+    assert len(set(got)) == 30 and any(g.startswith("10.") for g in got) and all(g.startswith(("10.", "192.168.")) for g in got)
+
+
+def spans(text):
+    """(start, end, type) of the mentions of a text, by plain search."""
+    out, names = [], set()
+    for m in regex.finditer(surrogates.PATTERN, text):
+        kind = next(k for k in ("email", "mac", "ipv6", "ip", "iban", "secret", "name", "ssn", "card", "phone") if regex.fullmatch(surrogates._alone(k)[4:-2], m[0]))
+        out.append((m.start(), m.end(), kind))
+        if kind == "name":
+            parts = m[0].split(" ")
+            titles = {t for g in surrogates.ADDRESS.values() for t in g}
+            while len(parts) > 1 and parts[0].rstrip(".") in titles:
+                parts.pop(0)
+            names |= set(parts)
+    taken = [(a, b) for a, b, _ in out]
+    for m in regex.finditer(r"\p{L}[\p{L}'’-]*", text):
+        for n in sorted(names | {n.upper() for n in names}, key=len, reverse=True):
+            if m[0] == n and not any(a < m.end() and m.start() < b for a, b in taken):
+                out.append((m.start(), m.end(), "name"))
+    return sorted(out)
+
+
+def test_whole_texts_against_plain_search(spark):
+    rng = random.Random(3)
+    people = ["John Smith", "Anna Smith", "Jörg Müller", "Zoë O'Neil", "Ivan Petrov"]
+    word = lambda: "".join(rng.choices("aeioustrn", k=rng.randint(2, 8)))
+    def mention():
+        who = rng.choice(people)
+        return rng.choice([
+            f"Mr. {who}", f"Dr {who.split()[1]}", who.split()[1], f"{word()}@{word()}.com", f"+1 ({rng.randint(200, 209)}) 555-{rng.randint(1000, 1009)}",
+            f"10.0.{rng.randint(0, 3)}.{rng.randint(1, 5)}", "AKIA" + "".join(rng.choices("ABCDEFG234", k=16)), f"{rng.randint(100, 109)}-45-6789",
+        ])
+
+    texts = ["; ".join(mention() if rng.random() < 0.2 else word() for _ in range(rng.choice([3, 20, 200]))) for _ in range(60)]
+    texts += ["; ".join([word() for _ in range(40_000)] + ["Mr. John Smith", "x", "Smith"])]  # a very long one
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table, n = {}, 0
+    for r in surrogates.replace(df, "k").collect():
+        found = spans(texts[r.doc_id])
+        assert sorted(r.pii_types) == sorted(k for _, _, k in found)
+        gaps = [texts[r.doc_id][a:b] for a, b in zip([0, *(s[1] for s in found)], [*(s[0] for s in found), None], strict=True)]
+        pattern = "".join(regex.escape(g) + (f"(?P<m{i}>[^;]+?)" if i < len(found) else "") for i, g in enumerate(gaps))
+        m = regex.fullmatch(pattern, r.text, regex.S)
+        assert m, (texts[r.doc_id][:200], r.text[:200])
+        for i, (a, b, kind) in enumerate(found):
+            old, new = texts[r.doc_id][a:b], m[f"m{i}"]
+            pairs = list(zip(old.split(" "), new.split(" "), strict=True)) if kind == "name" else [(regex.sub(r"[^\p{L}\p{N}]", "", old).lower(), regex.sub(r"[^\p{L}\p{N}]", "", new).lower())]
+            for x, y in pairs:
+                if x.rstrip(".") in {t for g in surrogates.ADDRESS.values() for t in g}:
+                    assert x == y
+                elif kind != "ip":
+                    assert x.lower() != y.lower()
+                    table.setdefault((kind, x.lower()), set()).add(y.lower())
+                    n += 1
+    assert n > 100
+    # one surrogate an entity; a word may be both a given and a family name, but not here
+    assert all(len(v) == 1 for v in table.values())
+    flat = [(k, *v) for (k, _), v in table.items()]
+    assert len(set(flat)) == len(flat)
