@@ -3,8 +3,8 @@
 The plan is made for a histogram: pieces have lengths 1..capacity, so the driver holds
 ``capacity`` counts whatever the size of the corpus. A bin type is a multiset of lengths with the
 number of bins that hold it. Best fit in falling order of length fills the bins; local search
-then exchanges one piece for one, two for one, or moves a piece between underfull bins, each time
-raising the sum of squared fills, until a bin is empty or no exchange helps. One step treats all
+then moves one or two pieces between underfull bins or exchanges one for one, one for two or two for
+one, in either direction, each time raising the sum of squared fills, until a bin is empty or no exchange helps. One step treats all
 bins of the two types at once. Documents find their bin by their rank among equal lengths, from
 per-task counts, so no length is ever sorted or gathered in one place.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,27 +71,49 @@ def _fill(content: Bin) -> int:
     return sum(length * n for length, n in content)
 
 
-def _exchange(donor: Bin, taker: Bin, capacity: int) -> tuple[int, tuple[int, ...]] | None:
-    """(a, bs): a leaves ``donor`` for ``taker`` and the pieces bs go back; the best legal gain."""
+def _ones(content: Bin) -> list[tuple[int, tuple[int, ...]]]:
+    return [(x, (x,)) for x, _ in content]
+
+
+@lru_cache(maxsize=100_000)
+def _sides(content: Bin) -> tuple[list[tuple[int, tuple[int, ...]]], list[tuple[int, tuple[int, ...]]]]:
+    """(total, pieces) of what can leave a bin as one piece, and as two; by rising total."""
+    lengths = [x for x, n in content for _ in range(min(n, 2))]
+    twos = {(x + y, (x, y)) for i, x in enumerate(lengths) for y in lengths[i + 1 :]}
+    return sorted(_ones(content)), sorted(twos)
+
+
+def _best(out: list[tuple[int, tuple[int, ...]]], back: list[tuple[int, tuple[int, ...]]], room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    """The greatest net <= room that goes over when one of ``out`` leaves and one of ``back`` returns."""
+    best, i = (0, (), ()), 0
+    for total, pieces in out:  # as totals rise, the least return that still fits rises too
+        while i < len(back) and total - back[i][0] > room:
+            i += 1
+        if i == len(back):
+            break
+        if total - back[i][0] > best[0]:
+            best = total - back[i][0], pieces, back[i][1]
+    return best
+
+
+def _exchange(donor: Bin, taker: Bin, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """(out, back): the pieces that leave ``donor`` and those that return; the best gain, if there is one.
+
+    With ``lead`` the taker's fill above the donor's, a net transfer gains 2 * net * (net + lead),
+    so the greatest net that fits is best.
+    """
     room, lead = capacity - _fill(taker), _fill(taker) - _fill(donor)
-    best, found = 0, None
-    back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-    back += [(b, (b,)) for b, _ in taker]
-    lengths = [b for b, n in taker for _ in range(min(n, 2))]
-    back += list({(x + y, (x, y)) for i, x in enumerate(lengths) for y in lengths[i + 1 :]})
-    for a, _ in donor:
-        for total, bs in back:
-            net = a - total
-            if 0 < net <= room and net + lead > 0 and (gain := 2 * net * (lead + net)) > best:
-                best, found = gain, (a, bs)
-    return found
+    (one, two), (one_back, two_back) = _sides(donor), _sides(taker)
+    nothing = [(0, ())]
+    found = max((_best(out, back, room) for out, back in ((one, nothing), (two, nothing), (one, one_back), (one, two_back), (two, one_back))), key=lambda f: f[0])
+    return found[1:] if found[0] > max(0, -lead) else None
 
 
 def improve(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
     """Local search until the bins are as few as their sum allows or no exchange helps.
 
-    Every exchange raises the sum of squared fills, so the search ends. An exchange depends on the
-    two contents alone: pairs without one are remembered and not tried again.
+    Every exchange raises the sum of squared fills, so the search ends, and never with more bins. An
+    exchange depends on the two contents alone: pairs without one are remembered and not tried again.
     """
     bins = Counter({b: n for b, n in bins.items() if n})
     least = -(-sum(_fill(b) * n for b, n in bins.items()) // capacity)
@@ -99,7 +122,7 @@ def improve(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
         types = sorted((b for b in bins if _fill(b) < capacity), key=lambda b: (_fill(b), b))
         for i, donor in enumerate(types):
             tried, step = barren.setdefault(donor, set()), None
-            for taker in types[i + 1 :][::-1] + ([donor] if bins[donor] > 1 else []):
+            for taker in types[i + 1 :][::-1] + ([donor] if bins[donor] > 1 else []) + types[:i][::-1]:
                 if taker in tried:
                     continue
                 if e := _exchange(donor, taker, capacity):
@@ -110,9 +133,11 @@ def improve(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
                 break
         else:
             return bins
-        taker, (a, back) = step
+        taker, (out, back) = step
         n = bins[donor] // 2 if taker == donor else min(bins[donor], bins[taker])
-        giving, taking = _with(donor, a, -1), _with(taker, a)
+        giving, taking = donor, taker
+        for a in out:
+            giving, taking = _with(giving, a, -1), _with(taking, a)
         for b in back:
             giving, taking = _with(giving, b), _with(taking, b, -1)
         bins[donor] -= n

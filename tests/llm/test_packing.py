@@ -96,3 +96,54 @@ def test_local_search_ends_only_when_nothing_helps():
     better = packing.improve(bins, 1000)
     types = sorted((b for b in better if packing._fill(b) < 1000), key=lambda b: (packing._fill(b), b))
     assert not any(packing._exchange(d, t, 1000) for i, d in enumerate(types) for t in [*types[i + 1 :], *([d] if better[d] > 1 else [])])
+
+
+def optimum(pieces, capacity):
+    """The least number of bins, by trying every assignment."""
+    best = len(pieces)
+
+    def put(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(pieces):
+            best = len(fills)
+            return
+        for f in set(fills):
+            if f + pieces[i] <= capacity:
+                rest = list(fills)
+                rest.remove(f)
+                put(i + 1, [*rest, f + pieces[i]])
+        put(i + 1, [*fills, pieces[i]])
+
+    put(0, [])
+    return best
+
+
+def test_against_the_optimum_of_small_inputs():
+    rng, met = random.Random(2), 0
+    for _ in range(150):
+        capacity = rng.choice([20, 100])
+        pieces = sorted((rng.randint(1, capacity * 2 // 3) for _ in range(rng.randint(3, 9))), reverse=True)
+        first = packing.best_fit(Counter(pieces), capacity)
+        better = sum(packing.improve(first, capacity).values())
+        assert optimum(pieces, capacity) <= better <= sum(first.values())
+        met += better == optimum(pieces, capacity)
+    assert met >= 145
+
+
+def test_the_search_empties_bins_that_best_fit_leaves():
+    # triples that fill bins exactly: best fit in falling order misses many of them
+    rng, histogram = random.Random(4), Counter()
+    for _ in range(400):
+        a, b = rng.randint(260, 480), rng.randint(260, 480)
+        histogram.update([a, b, 1000 - a - b] if 1000 - a - b > 0 else [a, b])
+    first = packing.best_fit(histogram, 1000)
+    better = packing.improve(first, 1000)
+    assert +content(better) == +histogram
+    assert sum(better.values()) < sum(first.values())
+
+
+def test_two_of_the_donor_go_for_one_and_the_emptier_bin_can_become_the_fuller():
+    assert packing._exchange(((5, 1), (4, 1)), ((8, 1), (1, 1)), 10) == ((5, 4), (8,))
+    assert packing._exchange(((9, 1),), ((1, 1),), 10) is not None
