@@ -16,7 +16,10 @@ from eventlake.llm.scratch import written
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DAMPING = 0.85
-ROUNDS = 20
+#: Most rounds, and the share of all rank that four rounds may still move when they end sooner.
+ROUNDS, STILL = 60, 1e-6
+#: Hosts whose rules or scores are broadcast to the pages (some hundred bytes each); more meet them by shuffle.
+BROADCAST_HOSTS = 100_000
 #: Blocked: distrust above RATIO * trust by more than MARGIN of either, which is rounding noise.
 RATIO, MARGIN = 1.0, 1e-9
 
@@ -73,26 +76,42 @@ def _share(edges: DataFrame, kind: str, a: str, b: str) -> DataFrame:
     return edges.join(out, a).select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), (1.0 / F.col("degree")).alias("share"))
 
 
+def _near(df: DataFrame) -> DataFrame:
+    """``df``, one row a host, to be broadcast if it is short, so that pages of a hot host stay where they are.
+
+    A longer one meets pages by a sort-merge join, whose skewed partitions Spark splits.
+    """
+    return F.broadcast(df) if df.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else df
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, value) after ``rounds`` of personalised PageRank.
+    """(kind, host, value): personalised PageRank of each kind, in units of its seeds' sum.
 
     ``edges`` are distinct (src, dst); ``seeds`` (kind, host, value) with kind 'trust' or
     'distrust'. Trust flows along edges and distrust against them. What reaches a host without
-    further edges stays there once and is not dealt anew.
+    further edges goes back to the seeds; that scales all ranks of a kind alike, so it is done once
+    at the end. Rounds end when four of them move no more than ``STILL`` of the rank.
     """
     flow = written(_share(edges, "trust", "src", "dst").unionByName(_share(edges, "distrust", "dst", "src")))
+    seeds = written(seeds)
     start = seeds.select("kind", "host", ((1 - damping) * F.col("value")).alias("value"))
     if flow.isEmpty():
-        return start
-    start = written(start)
-    rank = start
+        return seeds
+    rank = last = start
     for k in range(rounds):
         moved = flow.join(rank.select("kind", F.col("host").alias("a"), "value"), ["kind", "a"])
         moved = moved.select("kind", F.col("b").alias("host"), (damping * F.col("value") * F.col("share")).alias("value"))
         rank = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("value").alias("value"))
         if k % 4 == 3:
             rank = written(rank)
-    return rank
+            both = rank.unionByName(last.withColumn("value", -F.col("value"))).groupBy("kind", "host").agg(F.sum("value").alias("d"), F.max("value").alias("value"))
+            change, total = both.agg(F.sum(F.abs("d")), F.sum("value")).first()
+            if (change or 0.0) <= STILL * (total or 0.0):
+                break
+            last = rank
+    # two rows: what each kind's ranks are divided by
+    scale = rank.groupBy("kind").agg(F.sum("value").alias("held")).join(seeds.groupBy("kind").agg(F.sum("value").alias("given")), "kind")
+    return rank.join(F.broadcast(scale), "kind").select("kind", "host", (F.col("value") * F.col("given") / F.col("held")).alias("value"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO, margin: float = MARGIN) -> DataFrame:
@@ -107,17 +126,17 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     url = F.col(url_col).cast("string")
     slim = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     edges = host_links(pages, url_col, html_col)
-    known = rules_by_host(slim.select("host").distinct(), rules)
+    known = written(rules_by_host(slim.select("host").distinct(), rules))
     fits = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), F.lit(0))
-    ruled = written(slim.join(known, "host", "left").withColumn("fit", fits).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled")))
+    ruled = written(slim.join(_near(known), "host", "left").withColumn("fit", fits).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled")))
     pages_of = ruled.groupBy("host").agg(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("trust"), F.count_if(F.col("ruled") == "block").alias("distrust")
     )
     seeds = pages_of.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust") / F.col("n"), F.lit("distrust"), F.col("distrust") / F.col("n"))).alias("kind", "value")).filter("value > 0")
     ranks = propagate(edges, seeds, damping, rounds)
-    scores = ranks.groupBy("host").agg(
+    scores = written(ranks.groupBy("host").agg(
         *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust"))
-    )
+    ))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_graph = F.when(distrust - ratio * trust > margin * (distrust + ratio * trust), F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust"))
+    return ruled.join(_near(scores), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust"))
