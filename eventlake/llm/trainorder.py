@@ -64,19 +64,26 @@ class Feistel:
         return self._walk(slot, True)
 
 
+def _checksum(sum_so_far: int, data: np.ndarray, off: np.ndarray) -> int:
+    """The running checksum of a task's texts and of where they end."""
+    ends = sum_so_far >> 32
+    return zlib.crc32(data, sum_so_far & 0xFFFFFFFF) | zlib.crc32(np.diff(off).astype("<i8"), ends) << 32
+
+
 def _outline(tokenizer: str, length: int):
-    """Which documents each sequence of a task holds, from counts alone."""
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    """Which documents each sequence of a task holds, from counts alone; last, as rank -1, the checksum of all its texts."""
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block = UnitEncoder.at(tokenizer), TaskContext.get().partitionId()
-        rank, size, docs, rows = 0, 0, [], []
+        rank, size, docs, rows, checksum = 0, 0, [], [], 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "rank", "n_tokens", "doc_ids"])
 
         for batch in batches:
             for i, j, data, off in slices(batch.column(1)):
+                checksum = _checksum(checksum, data, off)
                 counts = (encoder.count(data, off) + 1).tolist()
                 for doc, left in zip(batch.column(0).slice(i, j - i).to_pylist(), counts, strict=True):
                     while left:
@@ -91,16 +98,17 @@ def _outline(tokenizer: str, length: int):
                     rows.clear()
         if size:
             rows.append((block, rank, size, docs))
-        if rows:
+        if rank or size:
+            rows.append((block, -1, checksum - (checksum >> 63 << 64), []))
             yield out()
 
     return run
 
 
-def _records(tokenizer: str, length: int, end_id: int, pad_id: int, dtype: str, per_shard: int, first: dict[int, int], n_of: dict[int, int], order: Feistel):
+def _records(tokenizer: str, length: int, end_id: int, pad_id: int, dtype: str, per_shard: int, first: dict[int, int], n_of: dict[int, tuple[int, int]], order: Feistel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block = UnitEncoder.at(tokenizer), TaskContext.get().partitionId()
-        held, done = np.zeros(0, np.uint32), 0
+        held, done, checksum = np.zeros(0, np.uint32), 0, 0
 
         def out(table: np.ndarray) -> pa.RecordBatch:
             slot = order.slot(first[block] + done + np.arange(len(table)))
@@ -109,6 +117,7 @@ def _records(tokenizer: str, length: int, end_id: int, pad_id: int, dtype: str,
 
         for batch in batches:
             for _, _, data, off in slices(batch.column(1)):
+                checksum = _checksum(checksum, data, off)
                 ids, at = encoder.encode(data, off)
                 held = np.concatenate([held, np.insert(ids, at[1:], np.uint32(end_id))])
                 whole = len(held) // length
@@ -118,8 +127,8 @@ def _records(tokenizer: str, length: int, end_id: int, pad_id: int, dtype: str,
         if len(held):
             yield out(np.concatenate([held, np.full(length - len(held), pad_id, np.uint32)]).reshape(1, -1))
             done += 1
-        if done != n_of.get(block, 0):
-            raise RuntimeError(f"task {block} read {done} sequences, and {n_of.get(block, 0)} before: the documents must be a stable scan")
+        if (done, checksum - (checksum >> 63 << 64)) != n_of.get(block, (0, 0)):
+            raise RuntimeError(f"task {block} read other texts than before, or in another order: the documents must be a stable scan")
 
     return run
 
@@ -135,16 +144,18 @@ def materialise(
     Every document ends in ``end_id``; the last sequence of each task is padded. A null or empty
     text is the end id alone; repeated rows are repeated; an empty table writes nothing. Other
     columns are not read. The documents are read twice and must come in the same order, as a scan
-    of files does; a task that finds other counts fails.
+    of files does; a task whose second reading has other counts or another checksum of its texts fails.
     """
     if np.iinfo(np.dtype(dtype)).max < pad_id:
         raise ValueError(f"{dtype} cannot hold the id {pad_id}")
     slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    outline = written(slim.mapInArrow(_outline(tokenizer, length), "block int, rank long, n_tokens int, doc_ids array<long>"))
-    n_of = {r["block"]: r["n"] for r in outline.groupBy("block").agg(F.count("*").alias("n")).collect()}  # a number per task
+    outline = written(slim.mapInArrow(_outline(tokenizer, length), "block int, rank long, n_tokens long, doc_ids array<long>"))
+    mark = F.col("rank") < 0
+    tasks_of = outline.groupBy("block").agg(F.count_if(~mark).alias("n"), F.max(F.when(mark, F.col("n_tokens"))).alias("checksum"))
+    n_of = {r["block"]: (r["n"], r["checksum"]) for r in tasks_of.collect()}  # two numbers per task
     first, total = {}, 0
     for block in sorted(n_of):
-        first[block], total = total, total + n_of[block]
+        first[block], total = total, total + n_of[block][0]
     order = Feistel(max(total, 1), key)
     records = slim.mapInArrow(_records(tokenizer, length, end_id, pad_id, dtype, per_shard, first, n_of, order), "shard long, place int, ids binary")
     shards = max(1, -(-total // per_shard))
@@ -160,10 +171,29 @@ def materialise(
             start = np.array([first[b] for b in batch.column("block").to_pylist()], np.int64)
             sequence = start + batch.column("rank").to_numpy()
             slot = order.slot(sequence)
-            columns = [pa.array(sequence), pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * stride), batch.column("n_tokens"), batch.column("doc_ids")]
+            columns = [pa.array(sequence), pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * stride), batch.column("n_tokens").cast(pa.int32()), batch.column("doc_ids")]
             yield pa.RecordBatch.from_arrays(columns, names=["sequence_id", "slot", "shard", "byte_offset", "n_tokens", "doc_ids"])
 
-    return outline.mapInArrow(placed, "sequence_id long, slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>")
+    return outline.filter("rank >= 0").mapInArrow(placed, "sequence_id long, slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>")
+
+
+def _table(name: str, content: pa.Scalar, stride: int) -> np.ndarray:
+    """The records of a shard as rows of bytes, without their marks."""
+    body = np.frombuffer(content.as_buffer(), np.uint8)
+    if len(body) % stride:
+        raise ValueError(f"{name} is cut off")
+    table = body.reshape(-1, stride)
+    if (table[:, -2:] != np.frombuffer(MARK, np.uint8)).any():
+        raise ValueError(f"{name} has a record without its mark")
+    return np.ascontiguousarray(table[:, : -len(MARK)])
+
+
+def _shard_of(name: str) -> int:
+    return int(name.rsplit("shard=", 1)[1].split("/", 1)[0])
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0")
 
 
 def read_shards(spark: SparkSession, path: str, length: int = 1024, per_shard: int = 4096, dtype: str = "<u2") -> DataFrame:
@@ -176,20 +206,33 @@ def read_shards(spark: SparkSession, path: str, length: int = 1024, per_shard: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                body = np.frombuffer(content.as_buffer(), np.uint8)
-                if len(body) % stride:
-                    raise ValueError(f"{name.as_py()} is cut off")
-                table = body.reshape(-1, stride)
-                if (table[:, -2:] != np.frombuffer(MARK, np.uint8)).any():
-                    raise ValueError(f"{name.as_py()} has a record without its mark")
-                shard = int(name.as_py().rsplit("shard=", 1)[1].split("/", 1)[0])
-                place = np.arange(len(table))
-                ids = np.ascontiguousarray(table[:, :-2]).view(dtype).astype("<u4")
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                ids, shard = _table(name, content, stride).view(dtype).astype("<u4"), _shard_of(name)
+                place = np.arange(len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard * per_shard + place), pa.array(np.full(len(table), shard)), pa.array(place * stride), pa.array([zlib.crc32(r) for r in ids], pa.int64())],
+                    [pa.array(shard * per_shard + place), pa.array(np.full(len(ids), shard)), pa.array(place * stride), pa.array([zlib.crc32(r) for r in ids], pa.int64())],
                     names=["slot", "shard", "byte_offset", "ids_crc32"],
                 )
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", "content")
-    return files.mapInArrow(run, "slot long, shard long, byte_offset long, ids_crc32 long")
+    return _files(spark, path).select("path", "content").mapInArrow(run, "slot long, shard long, byte_offset long, ids_crc32 long")
+
+
+def read_from(spark: SparkSession, path: str, slot: int = 0, until: int | None = None, length: int = 1024, per_shard: int = 4096, dtype: str = "<u2") -> DataFrame:
+    """(slot, ids) of the sequences in slots ``slot`` to ``until`` - 1, or to the last: what a run that stopped at ``slot`` resumes with.
+
+    Files of shards outside that range are not opened. Rows come in the order of slots within a file.
+    """
+    stride = length * np.dtype(dtype).itemsize + len(MARK)
+    end = until if until is not None else 1 << 62
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                base = _shard_of(name) * per_shard
+                ids = _table(name, content, stride).view(dtype)[max(slot - base, 0) : max(end - base, 0)].astype(np.int32)
+                offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * length)
+                yield pa.RecordBatch.from_arrays([pa.array(max(base, slot) + np.arange(len(ids))), pa.ListArray.from_arrays(offsets, pa.array(ids.ravel()))], names=["slot", "ids"])
+
+    shard = F.regexp_extract("path", "shard=([0-9]+)", 1).cast("long")
+    wanted = _files(spark, path).filter((shard >= slot // per_shard) & (shard * per_shard < end))
+    return wanted.select("path", "content").mapInArrow(run, "slot long, ids array<int>")

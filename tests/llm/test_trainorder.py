@@ -69,3 +69,38 @@ def test_empty_and_bad_files(spark, tmp_path):
         trainorder.read_shards(spark, f"file://{tmp_path}", 64, 8).collect()
     with pytest.raises(ValueError, match="cannot hold"):
         trainorder.materialise(docs, path, PATH, pad_id=70_000)
+
+
+def test_reading_from_a_slot(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 9 + 1)) for i in range(120)], "doc_id long, text string").repartition(2).cache()
+    path = scratch.shared_dir(spark) + "/s"
+    n = trainorder.materialise(docs, path, PATH, length=16, per_shard=8).count()
+    everything = {r.slot: r.ids for r in trainorder.read_from(spark, path, length=16, per_shard=8).collect()}
+    assert sorted(everything) == list(range(n)) and all(len(ids) == 16 for ids in everything.values())
+    crc = {r.slot: r.ids_crc32 for r in trainorder.read_shards(spark, path, 16, 8).collect()}
+    assert all(zlib.crc32(np.array(ids, "<u4")) == crc[s] for s, ids in everything.items())
+    for slot, until in ((0, 5), (3, None), (8, 16), (13, 30), (n - 1, None), (n, None)):
+        got = {r.slot: r.ids for r in trainorder.read_from(spark, path, slot, until, 16, 8).collect()}
+        assert got == {s: ids for s, ids in everything.items() if slot <= s < (n if until is None else until)}
+
+
+def test_another_order_of_as_many_tokens_fails(spark, tmp_path, monkeypatch):
+    path, real = f"file://{tmp_path}/docs", trainorder.written
+    texts = ["one two three", "four five six", "one two three"]
+
+    def swapped(df):
+        out = real(df)
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts[1:] + texts[:1])], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(path)
+        spark.catalog.refreshByPath(path)
+        return out
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(trainorder, "written", swapped)
+    with pytest.raises(Exception, match="in another order|does not exist|FileNotFound"):
+        trainorder.materialise(spark.read.parquet(path), scratch.shared_dir(spark) + "/s", PATH, length=8)
+    # the checksum itself tells the order
+    off = np.cumsum([0, 13, 13])
+    a, b = (np.frombuffer("".join(t).encode(), np.uint8) for t in (texts[:2], texts[1::-1]))
+    assert trainorder._checksum(0, a, off) != trainorder._checksum(0, b, off)
+    half = trainorder._checksum(trainorder._checksum(0, a[:13], off[:2]), a[13:], off[:2])
+    assert half == trainorder._checksum(0, a, off)
