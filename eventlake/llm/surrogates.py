@@ -45,7 +45,9 @@ PATTERNS = {
     "phone": "(?<![\\p{L}\\p{N}+])(?:\\+[0-9]{1,3}(?:[ .-]?\\([0-9]{1,4}\\))?(?:[ .-]?[0-9]{2,5}){2,5}|\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\\3[0-9]{4})(?![\\p{L}\\p{N}]|-[0-9])",
     "name": f"(?<![\\p{{L}}\\p{{N}}-])(?:(?:{_TITLES})\\.? ){{1,3}}{_NAME}(?: {_NAME}){{0,2}}",
 }
-PATTERN = "|".join(PATTERNS.values())
+#: No mention begins inside a word, which rules out most places at once.
+_WORD_START = "(?<![\\p{L}\\p{N}])"
+PATTERN = f"{_WORD_START}(?:{'|'.join(PATTERNS.values())})"
 
 #: Syllables and endings of made-up names, by script, part and gender.
 SYLLABLES = {
@@ -386,7 +388,7 @@ def _rewrite(key: str, text: Column, attempt_of) -> Column:
         behind = lambda m: let(F.split(m, " ", -1), lambda parts: F.slice(parts, _titles(parts) + 1, F.size(parts)))
         shown = F.flatten(F.transform(titled, behind))
         longest = F.array_sort(F.transform(F.array_distinct(F.concat(shown, F.transform(shown, F.upper))), lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
-        parts = F.concat(F.lit(PATTERN + "|(?<![\\p{L}\\p{N}])(?:"), F.array_join(F.transform(longest, lambda x: x["n"]), "|"), F.lit(")(?![\\p{L}\\p{N}])"))
+        parts = F.concat(F.lit(f"{PATTERN}|{_WORD_START}(?:"), F.array_join(F.transform(longest, lambda x: x["n"]), "|"), F.lit(")(?![\\p{L}\\p{N}])"))
         pattern = F.when(F.size(titled) > 0, parts).otherwise(F.lit(PATTERN))
         names = F.flatten(F.transform(titled, entities))
         return let(pattern, lambda p: let(F.when(F.size(titled) > 0, F.regexp_extract_all(text, p, F.lit(0))).otherwise(found), lambda every: let(names, lambda n: put(every, n, p))))
