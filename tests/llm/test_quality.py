@@ -41,19 +41,36 @@ def test_counts_equal_brute_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(texts[r.doc_id]), texts[r.doc_id]
 
 
-def reference_mcd(x, floors, share=0.75, steps=4, prior=50.0):
-    """Plain concentration steps on one group."""
+def reference_mcd(x, floors, share=0.75, prior=50.0):
+    """The same search on one group, in plain arrays."""
     d = x.shape[1]
-    m = np.array([np.sort(x[:, i])[math.ceil(0.5 * len(x)) - 1] for i in range(d)])
-    scatter = np.diag(np.square(floors))
-    for _ in range(steps):
-        d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(scatter), x - m)
-        bins = np.floor(np.log1p(d2) * quality.BINS)
-        limit = next(b for b in np.unique(bins) if (bins <= b).sum() >= share * len(x))
-        near = x[bins <= limit]
+    floor = np.diag(np.square(floors))
+
+    def estimate(near, factor):
         m = near.mean(0)
-        scatter = ((near - m).T @ (near - m) + prior * np.diag(np.square(floors))) / (len(near) + prior) + np.diag(np.square(floors))
-    return m, scatter
+        return m, (factor * (near - m).T @ (near - m) + prior * floor) / (len(near) + prior) + floor
+
+    def distances(m, scatter):
+        return np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(scatter), x - m)
+
+    def step(m, scatter):
+        bins = np.floor(np.log1p(distances(m, scatter)) * quality.BINS)
+        limit = next(b for b in np.unique(bins) if (bins <= b).sum() >= share * len(x))
+        return estimate(x[bins <= limit], quality.consistency(share, d))
+
+    rank = lambda q, i: np.sort(x[:, i])[max(math.ceil(q * len(x)), 1) - 1]
+    m = np.array([rank(0.5, i) for i in range(d)])
+    middle = np.array([max((rank(0.75, i) - rank(0.25, i)) / 1.349, floors[i]) for i in range(d)])
+    found = []
+    for start in ((m, floor), (m, np.diag(middle**2)), estimate(x, 1.0)):
+        for _ in range(quality.START_STEPS):
+            start = step(*start)
+        found.append(start)
+    best = min(found, key=lambda s: round(np.linalg.slogdet(s[1])[1], 9))
+    for _ in range(quality.MOST_STEPS):
+        best = step(*best)
+    near = x[distances(*best) <= quality.chi2_quantile(0.975, d)]
+    return estimate(near, quality.consistency(0.975, d))
 
 
 def test_estimates_equal_plain_numpy(spark):
@@ -74,6 +91,42 @@ def test_estimates_equal_plain_numpy(spark):
         assert np.allclose([[r[f"l{i}{j}"] if j <= i else 0 for j in range(3)] for i in range(3)], low)
 
 
+def test_chi_square():
+    assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-5
+    assert abs(quality.chi2_quantile(0.99, 4) - 13.276704) < 1e-5
+    assert abs(quality.chi2_quantile(0.9999, 7) - 29.8775) < 1e-3
+
+
+def test_rejected_share_of_normal_data_is_the_stated_tail(spark):
+    """Also with a fifth of far values among them, which the estimate does not see."""
+    rng = np.random.default_rng(5)
+    mix = np.array([[1, 0, 0, 0], [0.6, 0.8, 0, 0], [0, 0.3, 1, 0], [0.2, 0, 0.5, 0.4]])
+    x = rng.normal(size=(30_000, 4)) @ mix.T + [1, 2, 3, 4]
+    far = rng.normal(size=(7_000, 4)) * 0.1 + [9, -9, 9, 9]
+    names = ["w", "x", "y", "z"]
+    for rows in (x, np.concatenate([x, far])):
+        df = spark.createDataFrame([("g", *map(float, v)) for v in rows], "g string, w double, x double, y double, z double")
+        r = quality.mcd(df, ["g"], names, [1e-3] * 4).first()
+        low = np.array([[r[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        m = np.array([r[f"m{i}"] for i in range(4)])
+        d2 = np.square(np.linalg.solve(low, (x - m).T)).sum(0)
+        for tail in (0.1, 0.01, 0.001):
+            share = (d2 > quality.chi2_quantile(1 - tail, 4)).mean()
+            assert abs(share - tail) < 0.12 * tail + 4 * math.sqrt(tail / len(x)), (tail, share)
+        assert (np.square(np.linalg.solve(low, (far - m).T)).sum(0) > quality.chi2_quantile(0.9999, 4)).all()
+
+
+def test_rejections_agree_with_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = [r for r in quality.judge(docs).collect() if not r.base_failed and r.doc_id in labels]
+    rejected = [labels[r.doc_id] for r in got if not r.kept]
+    good = [r.kept for r in got if labels[r.doc_id] == 1]
+    print("rejected", len(rejected), "of them labelled bad", rejected.count(0), "labelled bad in all", sum(labels[r.doc_id] == 0 for r in got))
+    assert rejected.count(0) >= 0.95 * len(rejected) and len(rejected) >= 20
+    assert sum(good) >= 0.98 * len(good)
+
+
 def test_outliers_go_and_plain_text_stays(spark):
     rng = random.Random(1)
     syllables = "the an er on ti re ing ed".split()
