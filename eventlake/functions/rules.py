@@ -44,8 +44,9 @@ def format_path(client: Column, broker: Column) -> Column:
 
 
 def delivery_guarantee(acks_all: Column, idempotent: Column, transactional: Column, commits_after: Column, commits_in_txn: Column) -> Column:
+    """What a consumer that commits after processing, or before it, can count on."""
     exact = idempotent & transactional & commits_in_txn
-    return F.when(~acks_all, "at-most-once").when(~commits_after & ~commits_in_txn, "at-most-once").when(exact, "exactly-once").otherwise("at-least-once")
+    return F.when(~acks_all | ~commits_after, "at-most-once").when(exact, "exactly-once").otherwise("at-least-once")
 
 
 def order_is_safe(in_flight: Column, idempotent: Column) -> Column:

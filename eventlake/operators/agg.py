@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,49 @@ def ranked(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(value)) - 1).withColumn("size", F.count("*").over(Window.partitionBy(*group)))
 
 
+def selected(df: DataFrame, group: list[str], value: str, low: Column, high: Column, buckets: int = 4096) -> DataFrame:
+    """(group, rank, value) of the ranks ``low`` to ``high``, from 0, which are columns over ``size``.
+
+    A first pass counts ``buckets`` equal ranges of values per group, combined before the shuffle; only
+    rows of the ranges that hold the ranks are then ordered. So a group of any size is counted by all
+    tasks, and a sort sees a few thousandths of it, unless most of its values are in one range.
+    """
+    kept = df.filter(F.col(value).isNotNull())
+    span = kept.groupBy(*group).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    place = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets)).otherwise(F.lit(0))
+    placed = kept.join(span, group).withColumn("__b", place.cast("bigint")).select(*group, value, "__b")
+    counts = placed.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*group)
+    counts = counts.withColumn("size", F.sum("__n").over(w)).withColumn("__before", F.sum("__n").over(w.orderBy("__b")) - F.col("__n"))
+    wanted = counts.withColumn("__low", low).withColumn("__high", high).filter("__before <= __high and __before + __n > __low")
+    # the few ranges that hold a rank; their rows are ordered within their range
+    inside = placed.join(wanted.drop("__n", "size"), [*group, "__b"])
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy(*group, "__b").orderBy(value)) - 1
+    return inside.withColumn("rank", rank).filter("rank >= __low and rank <= __high").select(*group, "rank", value)
+
+
 def kth_percentile(df: DataFrame, group: list[str], value: str, percent: float) -> DataFrame:
     """The value of rank min(n - 1, floor(p n / 100)), an element of the input."""
     at = F.least(F.col("size") - 1, F.floor(F.col("size") * percent / 100))
-    return ranked(df, group, value).filter(F.col("rank") == at).select(*group, F.col(value).alias("value"))
+    return selected(df, group, value, at, at).select(*group, F.col(value).alias("value"))
 
 
 def medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """The exact median; the mean of the middle two of an even number."""
-    middle = (F.col("rank") >= F.floor((F.col("size") - 1) / 2)) & (F.col("rank") <= F.floor(F.col("size") / 2))
-    return ranked(df, group, value).filter(middle).groupBy(*group).agg(F.avg(value).alias("median"))
+    middle = selected(df, group, value, F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2))
+    return middle.groupBy(*group).agg(F.avg(value).alias("median"))
+
+
+def reservoir(df: DataFrame, group: list[str], key: str, size: int, seed: int = 0) -> DataFrame:
+    """``size`` rows of each group, every subset equally likely over seeds: those with the least keyed hashes.
+
+    The hash is the order, so samples of parts merge by taking the least again; partial lists are
+    combined before the shuffle.
+    """
+    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+    rows = df.withColumn("__h", draw)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("__h", key))
+    return rows.withColumn("__rank", rank).filter(F.col("__rank") <= size).drop("__h", "__rank")
 
 
 def hot(counts: DataFrame, count: str, multiple: float = 3) -> DataFrame:
@@ -68,6 +103,12 @@ def counter_value(increments: DataFrame, node: str, seen: str) -> DataFrame:
     return increments.groupBy(node).agg(F.max(seen).alias("__m")).agg(F.sum("__m").alias("value"))
 
 
+def bloom_size(members: int, false_rate: float) -> tuple[int, int]:
+    """(bits, hashes) of a filter that lets about ``false_rate`` of strangers pass."""
+    bits = max(64, math.ceil(-members * math.log(false_rate) / math.log(2) ** 2))
+    return bits, max(1, round(bits / max(members, 1) * math.log(2)))
+
+
 def bloom_bits(df: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
     """The distinct (bit) positions that the keys set in a filter of ``bits`` bits."""
     positions = F.array(*(F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(bits)) for k in range(hashes)))

@@ -13,18 +13,22 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_t: str, righ
 
     Both sides are cut into time buckets of ``window``; a left row meets the buckets before, of and
     behind its own. So the join has an equality on (key, bucket), and a key with many rows is
-    spread over its buckets. With ``how='left'`` unmatched left rows come with nulls.
+    spread over its buckets. With ``how='left'`` unmatched left rows come once each with nulls,
+    repeated rows and rows with nulls too.
     """
     if window < 1:
         raise ValueError("the window must be positive")
     bucket = lambda c: F.floor(F.col(c) / window).cast("bigint")
+    if how == "left":
+        left = left.withColumn("__id", F.xxhash64(*left.columns, *(F.col(c).isNull() for c in left.columns)))
     r = right.withColumn("__b", bucket(right_t))
     near = left.withColumn("__b", F.explode(F.array(bucket(left_t) - 1, bucket(left_t), bucket(left_t) + 1)))
     pairs = near.join(r, [key, "__b"]).filter(F.abs(F.col(left_t) - F.col(right_t)) <= window).drop("__b")
     if how == "inner":
         return pairs
-    missing = left.join(pairs.select(*left.columns).distinct(), left.columns, "left_anti")
-    return pairs.unionByName(missing, allowMissingColumns=True)
+    # rows that are alike in all columns match alike, so a hash of the columns and their nulls stands for a row
+    missing = left.join(pairs.select("__id").distinct(), "__id", "left_anti")
+    return pairs.unionByName(missing, allowMissingColumns=True).drop("__id")
 
 
 def as_of(probe: DataFrame, versions: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

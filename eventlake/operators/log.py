@@ -48,11 +48,17 @@ def time_index(log: DataFrame, interval: int, time: str = "t") -> DataFrame:
 
 
 def offset_for_time(log: DataFrame, targets: DataFrame, time: str = "t") -> DataFrame:
-    """For each (partition, target): the first offset, in offset order, whose time is at least target."""
-    hits = targets.join(log, "partition", "left").groupBy("partition", "target")
-    return hits.agg(F.min(F.when(F.col(time) >= F.col("target"), F.col("offset"))).alias("offset"), F.max("offset").alias("__last")).select(
-        "partition", "target", F.coalesce("offset", F.col("__last") + 1).alias("offset")
-    )
+    """For each (partition, target): the first offset, in offset order, whose time is at least target.
+
+    Only rows whose time exceeds all times before them can be first; among those, times rise with
+    offsets, so the next time up decides. That is a floor look-up in mirrored time.
+    """
+    before = Window.partitionBy("partition").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    records = log.withColumn("__m", F.max(time).over(before)).filter(F.col("__m").isNull() | (F.col(time) > F.col("__m")))
+    index = records.select("partition", (-F.col(time)).alias("__at"), F.col("offset"))
+    found = floor_join(targets.select("partition", "target", (-F.col("target")).alias("__at")), index, ["partition"], "__at", "offset")
+    ends = log.groupBy("partition").agg((F.max("offset") + 1).alias("__end"))
+    return found.join(ends, "partition", "left").select("partition", "target", F.coalesce("offset", "__end").alias("offset"))
 
 
 def floor_join(probe: DataFrame, index: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

@@ -70,16 +70,26 @@ def churn(old: Column, new: Column) -> Column:
     return F.round(100.0 * F.avg((old != new).cast("int")), 4)
 
 
+#: Arcs of a hash ring that are searched apart.
+ARCS = 256
+
+
 def ring_owner(keys: DataFrame, key: str, nodes: DataFrame, node: str, virtual: int) -> DataFrame:
     """(key, node): the first virtual node clockwise of the key's place on a ring of 2^32 places."""
     place = lambda c: sha_slot(c, 2**32)
     vnodes = nodes.withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(virtual - 1))))
     ring = vnodes.select(place(F.concat_ws("#", F.col(node), F.col("__v").cast("string"))).alias("at"), node)
-    # the next place up is the floor in the mirrored order; the all-equal key keeps one ordered run
-    mirrored = ring.select(F.lit(0).alias("__k"), (-F.col("at")).alias("at"), node)
-    probe = keys.select(F.lit(0).alias("__k"), (-place(F.col(key))).alias("at"), key)
+    # the next place up is the floor in the mirrored order, sought within an arc of the ring; where an arc
+    # has none, the first place of the arcs behind it counts. The ring is nodes times virtual rows.
+    arc = lambda c: F.floor(c / (2**32 // ARCS)).cast("int")
+    mirrored = ring.select(arc(F.col("at")).alias("__k"), (-F.col("at")).alias("at"), node)
+    probe = keys.select(place(F.col(key)).alias("at"), key).select(arc(F.col("at")).alias("__k"), (-F.col("at")).alias("at"), key)
     first = ring.agg(F.min_by(node, "at").alias("__first"))
-    return floor_join(probe, mirrored, ["__k"], "at", node).join(F.broadcast(first)).select(key, F.coalesce(node, "__first").alias(node))
+    arcs = keys.sparkSession.range(ARCS).select(F.col("id").cast("int").alias("__k"))
+    heads = arcs.join(ring.groupBy(arc(F.col("at")).alias("__k")).agg(F.min_by(node, "at").alias("__head")), "__k", "left")
+    behind = F.first("__head", ignorenulls=True).over(Window.orderBy("__k").rowsBetween(1, Window.unboundedFollowing))
+    following = heads.select("__k", behind.alias("__next")).join(F.broadcast(first)).select("__k", F.coalesce("__next", "__first").alias("__next"))
+    return floor_join(probe, mirrored, ["__k"], "at", node).join(F.broadcast(following), "__k").select(key, F.coalesce(node, "__next").alias(node))
 
 
 def sticky_assign(current: DataFrame, members: DataFrame, partition: str, member: str) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlake.operators.log import coalesce_ranges, floor_join
+
 
 def compact(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of every key."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return log.withColumn("__rn", rn).filter("__rn = 1").drop("__rn")
+    """The last row of every key; combined before the shuffle, so a hot key is no burden."""
+    rest = [c for c in log.columns if c not in keys]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__last"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"__last.{c}").alias(c) for c in log.columns))
 
 
 def reap_tombstones(compacted: DataFrame, value: str, offset: str, born: str, floor: Column, now: Column, retention: int, strict: bool = True) -> DataFrame:
@@ -61,10 +64,12 @@ def fence(produced: DataFrame, producer: list[str], epoch: str, order: str) -> D
 def without_aborted(log: DataFrame, aborted: DataFrame, producer: str, offset: str) -> DataFrame:
     """Rows that no aborted range (producer, first, last), ends included, covers.
 
-    Rows meet only ranges of their producer; a row that several ranges cover goes once.
+    Ranges that overlap become one; then the range that begins last before a row is the only one
+    that can cover it, so one floor look-up decides and no row is paired with all ranges.
     """
-    hit = log.join(aborted, producer).filter(F.col(offset).between(F.col("first"), F.col("last"))).select(producer, offset).distinct()
-    return log.join(hit, [producer, offset], "left_anti")
+    whole = coalesce_ranges(aborted.select(producer, F.col("first").alias("start"), (F.col("last") + 1).alias("stop")), [producer])
+    index = whole.select(producer, F.col("start").alias(offset), F.col("stop").alias("__stop"))
+    return floor_join(log, index, [producer], offset, "__stop").filter(F.col("__stop").isNull() | (F.col("__stop") <= F.col(offset))).drop("__stop")
 
 
 def last_stable(watermarks: DataFrame, open_txns: DataFrame) -> DataFrame:

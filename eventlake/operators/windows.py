@@ -34,16 +34,33 @@ def sessions(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:
     return numbered.groupBy(*keys, "__s").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("events")).drop("__s")
 
 
+#: Rows of a range of a total order that one task carries a maximum through.
+RANGE_ROWS = 1_000_000
+
+
+def greatest_before(df: DataFrame, seq: str, value: str, name: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``name``: the greatest ``value`` of all rows with a lower integer ``seq``; null for the first.
+
+    Ranges of ``rows`` numbers are reduced to their maximum, combined before the shuffle; a window over
+    the ranges carries it on, and each range is then ordered by itself. So one total order takes
+    as many tasks as it has ranges.
+    """
+    part = F.floor(F.col(seq) / rows).cast("bigint")
+    tops = df.groupBy(part.alias("__r")).agg(F.max(value).alias("__top"))
+    carried = tops.withColumn("__carry", F.max("__top").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))).drop("__top")
+    own = F.max(value).over(Window.partitionBy("__r").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("__r", part).join(carried, "__r").withColumn(name, F.greatest(own, F.col("__carry"))).drop("__r", "__carry")
+
+
 def closed_windows(df: DataFrame, t: str, size: int, lateness: int, seq: str, value: Column) -> DataFrame:
     """Tumbling sums replayed in arrival order.
 
     The watermark of a row is the greatest time that arrived up to it. A row whose window was closed
     before it (watermark at or above the window's end plus ``lateness``) is dropped and counted. The
-    watermark needs one total order; rows are reduced to (window, ...) only behind it.
+    greatest time is carried over ranges of the arrival order.
     """
-    before = Window.orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     start = F.floor(F.col(t) / size).cast("bigint") * size
-    marked = df.select(start.alias("window_start"), F.coalesce(F.max(t).over(before), F.lit(-1)).alias("__wm"), value.alias("__v"))
+    marked = greatest_before(df, seq, t, "__wm").select(start.alias("window_start"), F.coalesce("__wm", F.lit(-1)).alias("__wm"), value.alias("__v"))
     late = F.col("__wm") >= F.col("window_start") + size + lateness
     return marked.groupBy("window_start").agg(F.sum(F.when(~late, F.col("__v"))).alias("total"), F.count_if(late).alias("dropped"))
 
@@ -64,5 +81,4 @@ def retractions(df: DataFrame, keys: list[str], seq: str, value: str) -> DataFra
 
 def late_rows(df: DataFrame, seq: str, t: str, bound: int) -> DataFrame:
     """Rows older than the watermark, which trails the greatest time before them by ``bound``."""
-    wm = F.max(F.col(t) - bound).over(Window.orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("wm", wm).filter(F.col(t) < F.col("wm"))
+    return greatest_before(df, seq, t, "__wm").withColumn("wm", F.col("__wm") - bound).drop("__wm").filter(F.col(t) < F.col("wm"))

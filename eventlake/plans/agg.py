@@ -55,8 +55,8 @@ def kth_percentile(spark, sf_dir):
 
 @register("kth_smallest", "SELECT o_orderpriority, o_totalprice AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS rk FROM orders) WHERE rk = 7")
 def kth_smallest(spark, sf_dir):
-    r = A.ranked(table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice")
-    return r.filter("rank = 7").select("o_orderpriority", F.col("o_totalprice").alias("value"))
+    r = A.selected(table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", F.lit(7), F.lit(7))
+    return r.select("o_orderpriority", F.col("o_totalprice").alias("value"))
 
 
 @register("exact_median", "SELECT o_orderstatus, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1")
@@ -102,8 +102,9 @@ VERSIONS = "v AS (SELECT l_partkey AS key, l_suppkey % 3 AS replica, max(l_order
 @register("read_repair", f"WITH {VERSIONS}, m AS (SELECT key, max(version) AS newest FROM v GROUP BY 1) SELECT key, newest, count(*) FILTER (WHERE version < newest) AS behind FROM v JOIN m USING (key) GROUP BY key, newest")
 def read_repair(spark, sf_dir):
     v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key"), (F.col("l_suppkey") % 3).alias("replica")).agg(F.max("l_orderkey").alias("version"))
-    m = v.groupBy("key").agg(F.max("version").alias("newest"), F.collect_list("version").alias("all"))
-    return m.select("key", "newest", F.size(F.filter("all", lambda x: x < F.col("newest"))).cast("bigint").alias("behind"))
+    per = v.groupBy("key", "version").agg(F.count("*").alias("n"))
+    m = per.groupBy("key").agg(F.max(F.struct("version", "n")).alias("top"), F.sum("n").alias("all"))
+    return m.select("key", F.col("top.version").alias("newest"), (F.col("all") - F.col("top.n")).alias("behind"))
 
 
 @register("approx_distinct")
@@ -121,18 +122,21 @@ def heavy_hitters(spark, sf_dir):
     return e.join(likely, "user_id").groupBy("user_id", "total").agg(F.count("*").alias("n")).filter("n * 100 >= total").select("user_id", "n")
 
 
-@register("bloom_membership", "SELECT count(*) AS members, count(*) AS passed FROM labels")
+@register("bloom_membership", "SELECT (SELECT count(*) FROM labels) AS members, (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS passed_members, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS strangers, true AS few_strangers_pass")
 def bloom_membership(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    bits = A.bloom_bits(labels, "doc_id", 1 << 16, 5)
-    passed = A.bloom_may_contain(labels, "doc_id", bits, 1 << 16, 5).agg(F.count("*").alias("passed"))
-    return labels.agg(F.count("*").alias("members")).join(F.broadcast(passed))
-
-
-@register("reservoir_first", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events) WHERE rn <= 5")
-def reservoir_first(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_type", "event_id")
-    return A.ranked(e, ["event_type"], "event_id").filter("rank < 5").select("event_type", "event_id")
+    """Probes every document against a filter of the labelled ones: no member is lost, and under 1 in 20 others pass."""
+    labels, docs = table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").select("doc_id")
+    size = A.bloom_size(labels.count(), 0.01)
+    passed = A.bloom_may_contain(docs, "doc_id", A.bloom_bits(labels, "doc_id", *size), *size).withColumn("passed", F.lit(True))
+    known = docs.join(labels.distinct().withColumn("member", F.lit(True)), "doc_id", "left").join(passed.distinct(), "doc_id", "left")
+    member, through = F.coalesce("member", F.lit(False)), F.coalesce("passed", F.lit(False))
+    found = known.agg(F.count_if(member & through).alias("passed_members"), F.count_if(~member).alias("strangers"), F.count_if(~member & through).alias("false"))
+    return labels.agg(F.count("*").alias("members")).join(F.broadcast(found)).select("members", "passed_members", "strangers", (F.col("false") * 20 <= F.col("strangers") + 20).alias("few_strangers_pass"))
+
+
+@register("reservoir_sample", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ('0x' || substr(sha256('7:' || event_id), 1, 15))::BIGINT, event_id) AS rn FROM events) WHERE rn <= 5")
+def reservoir_sample(spark, sf_dir):
+    return A.reservoir(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], "event_id", 5, seed=7)
 
 
 @register("fan_out_ratio", "SELECT count(*) AS records, sum(len(w)) AS words, round(sum(len(w)) / count(*), 6) AS ratio FROM (SELECT list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)")

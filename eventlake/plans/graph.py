@@ -9,36 +9,17 @@ from eventlake.catalog import register
 from eventlake.operators import graph as G
 from eventlake.sources.tables import table
 
-EDGES = "g AS (SELECT DISTINCT p_size AS src, p_size + 1 + p_partkey % 3 AS dst FROM part WHERE p_partkey % 4 = 0 AND p_size < 30)"
-
-
-def _edges(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey % 4 = 0 and p_size < 30")
-    return p.select(F.col("p_size").cast("bigint").alias("src"), (F.col("p_size") + 1 + F.col("p_partkey") % 3).alias("dst")).distinct()
+EDGES = "g AS (SELECT DISTINCT p_size AS src, p_size + 1 + p_partkey % 3 AS dst FROM part)"
 
 
 @register("topological_layers", f"WITH RECURSIVE {EDGES}, r(node, layer) AS (SELECT src, 0 FROM g UNION SELECT g.dst, r.layer + 1 FROM r JOIN g ON g.src = r.node) SELECT node::BIGINT AS node, max(layer)::BIGINT AS layer FROM r GROUP BY 1")
 def topological_layers(spark, sf_dir):
-    return G.layers(_edges(spark, sf_dir))
-
-
-@register("topological_layers_whole")
-def topological_layers_whole(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return G.layers(p.select(F.col("p_size").cast("bigint").alias("src"), (F.col("p_size") + 1 + F.col("p_partkey") % 3).alias("dst")).distinct())
 
 
-PAIRS = "h AS (SELECT DISTINCT c_custkey AS src, c_custkey + 1 + c_nationkey % 2 AS dst FROM customer WHERE c_nationkey % 3 = 0)"
-
-
-@register("connected_components", f"WITH RECURSIVE {PAIRS}, b AS (SELECT src AS a, dst AS b FROM h UNION SELECT dst, src FROM h), r(node, c) AS (SELECT a, a FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1")
+@register("connected_components")
 def connected_components(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_nationkey % 3 = 0")
-    return G.components(c.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1 + F.col("c_nationkey") % 2).alias("dst")).distinct())
-
-
-@register("connected_components_whole")
-def connected_components_whole(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return G.components(c.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1 + F.col("c_nationkey") % 2).alias("dst")).distinct())
 

@@ -93,21 +93,6 @@ def list_offsets(spark, sf_dir):
 SEGMENTS = "seg AS (SELECT partition, min(\"offset\") AS base FROM log GROUP BY partition, \"offset\" // 100)"
 
 
-@register("segment_lookup", f"WITH {LOG}, {SEGMENTS}, p AS (SELECT partition, \"offset\", event_id FROM log WHERE event_id % 7 = 0) SELECT p.partition, p.\"offset\", event_id, base FROM p ASOF LEFT JOIN seg ON p.partition = seg.partition AND p.\"offset\" >= seg.base")
-def segment_lookup(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    seg = log.groupBy("partition", F.expr("offset div 100").alias("s")).agg(F.min("offset").alias("base")).select("partition", F.col("base").alias("offset"), "base")
-    return L.floor_join(log.filter("event_id % 7 = 0").select("partition", "offset", "event_id"), seg, ["partition"], "offset", "base")
-
-
-@register("offset_index_floor", f"WITH {LOG}, ix AS (SELECT partition, \"offset\" AS o, \"offset\" * 64 AS position FROM log WHERE \"offset\" % 50 = 49), p AS (SELECT partition, \"offset\" FROM log WHERE event_id % 5 = 0) SELECT p.partition, p.\"offset\", coalesce(position, 0) AS position FROM p ASOF LEFT JOIN ix ON p.partition = ix.partition AND p.\"offset\" >= ix.o")
-def offset_index_floor(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    index = log.filter("offset % 50 = 49").select("partition", "offset", (F.col("offset") * 64).alias("position"))
-    found = L.floor_join(log.filter("event_id % 5 = 0").select("partition", "offset"), index, ["partition"], "offset", "position")
-    return found.withColumn("position", F.coalesce("position", F.lit(0).cast("bigint")))
-
-
 @register("seek_clamped", f"WITH {LOG}, {HW} SELECT partition, k - 50 AS requested, least(greatest(k - 50, 10), high_watermark) AS position FROM hw, range(0, 3000, 250) r(k)")
 def seek_clamped(spark, sf_dir):
     hw = watermarks(event_log(spark, sf_dir)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2750), F.lit(250)))).withColumn("requested", F.col("k").cast("bigint") - 50)
@@ -175,15 +160,15 @@ def contiguous_commit(spark, sf_dir):
     return L.contiguous_prefix(log.select("partition", "offset", "done"), ["partition"], "offset", "done")
 
 
-@register("segment_lookup_whole", f"WITH {LOG}, {SEGMENTS} SELECT p.partition, p.\"offset\", event_id, base FROM log p ASOF LEFT JOIN seg ON p.partition = seg.partition AND p.\"offset\" >= seg.base")
-def segment_lookup_whole(spark, sf_dir):
+@register("segment_lookup", f"WITH {LOG}, {SEGMENTS} SELECT p.partition, p.\"offset\", event_id, base FROM log p ASOF LEFT JOIN seg ON p.partition = seg.partition AND p.\"offset\" >= seg.base")
+def segment_lookup(spark, sf_dir):
     log = event_log(spark, sf_dir)
     seg = log.groupBy("partition", F.expr("offset div 100").alias("s")).agg(F.min("offset").alias("base")).select("partition", F.col("base").alias("offset"), "base")
     return L.floor_join(log.select("partition", "offset", "event_id"), seg, ["partition"], "offset", "base")
 
 
-@register("offset_index_floor_whole", f"WITH {LOG}, ix AS (SELECT partition, \"offset\" AS o, \"offset\" * 64 AS position FROM log WHERE \"offset\" % 50 = 49) SELECT p.partition, p.\"offset\", coalesce(position, 0) AS position FROM log p ASOF LEFT JOIN ix ON p.partition = ix.partition AND p.\"offset\" >= ix.o")
-def offset_index_floor_whole(spark, sf_dir):
+@register("offset_index_floor", f"WITH {LOG}, ix AS (SELECT partition, \"offset\" AS o, \"offset\" * 64 AS position FROM log WHERE \"offset\" % 50 = 49) SELECT p.partition, p.\"offset\", coalesce(position, 0) AS position FROM log p ASOF LEFT JOIN ix ON p.partition = ix.partition AND p.\"offset\" >= ix.o")
+def offset_index_floor(spark, sf_dir):
     log = event_log(spark, sf_dir)
     index = log.filter("offset % 50 = 49").select("partition", "offset", (F.col("offset") * 64).alias("position"))
     found = L.floor_join(log.select("partition", "offset"), index, ["partition"], "offset", "position")
@@ -196,16 +181,8 @@ def mirror_translation(spark, sf_dir):
     return L.with_offsets(copied, "partition", ["source"]).withColumnRenamed("offset", "target")
 
 
-@register("checkpoint_translation", f"WITH {LOG}, c AS (SELECT partition, \"offset\" AS s, \"offset\" * 2 + 5 AS target FROM log WHERE \"offset\" % 40 = 0) SELECT l.partition, l.\"offset\", target, l.\"offset\" - s AS reprocessing FROM (SELECT * FROM log WHERE event_id % 11 = 0) l ASOF LEFT JOIN c ON l.partition = c.partition AND l.\"offset\" >= c.s")
+@register("checkpoint_translation", f"WITH {LOG}, c AS (SELECT partition, \"offset\" AS s, \"offset\" * 2 + 5 AS target FROM log WHERE \"offset\" % 40 = 0) SELECT l.partition, l.\"offset\", target, l.\"offset\" - s AS reprocessing FROM log l ASOF LEFT JOIN c ON l.partition = c.partition AND l.\"offset\" >= c.s")
 def checkpoint_translation(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    points = log.filter("offset % 40 = 0").select("partition", "offset", F.struct(F.col("offset").alias("s"), (F.col("offset") * 2 + 5).alias("target")).alias("c"))
-    found = L.floor_join(log.filter("event_id % 11 = 0").select("partition", "offset"), points, ["partition"], "offset", "c")
-    return found.select("partition", "offset", "c.target", (F.col("offset") - F.col("c.s")).alias("reprocessing"))
-
-
-@register("checkpoint_translation_whole", f"WITH {LOG}, c AS (SELECT partition, \"offset\" AS s, \"offset\" * 2 + 5 AS target FROM log WHERE \"offset\" % 40 = 0) SELECT l.partition, l.\"offset\", target, l.\"offset\" - s AS reprocessing FROM log l ASOF LEFT JOIN c ON l.partition = c.partition AND l.\"offset\" >= c.s")
-def checkpoint_translation_whole(spark, sf_dir):
     log = event_log(spark, sf_dir)
     points = log.filter("offset % 40 = 0").select("partition", "offset", F.struct(F.col("offset").alias("s"), (F.col("offset") * 2 + 5).alias("target")).alias("c"))
     found = L.floor_join(log.select("partition", "offset"), points, ["partition"], "offset", "c")

@@ -26,14 +26,8 @@ def weighted_assign(spark, sf_dir):
     return P.weighted_shares(w, "member", "weight", 200)
 
 
-@register("assignment_faults", "WITH a AS (SELECT l_partkey AS partition, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_orderkey < 200 GROUP BY 1) SELECT p_partkey AS partition, CASE WHEN n IS NULL THEN 'orphaned' ELSE 'double-owned' END AS fault FROM part LEFT JOIN a ON p_partkey = partition WHERE n IS NULL OR n > 1")
+@register("assignment_faults", "WITH a AS (SELECT l_partkey AS partition, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT p_partkey AS partition, CASE WHEN n IS NULL THEN 'orphaned' ELSE 'double-owned' END AS fault FROM part LEFT JOIN a ON p_partkey = partition WHERE n IS NULL OR n > 1")
 def assignment_faults(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").filter("l_orderkey < 200").select(F.col("l_partkey").alias("partition"), F.col("l_suppkey").alias("member"))
-    return P.assignment_faults(a, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partition")), "partition", "member")
-
-
-@register("assignment_faults_whole", "WITH a AS (SELECT l_partkey AS partition, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT p_partkey AS partition, CASE WHEN n IS NULL THEN 'orphaned' ELSE 'double-owned' END AS fault FROM part LEFT JOIN a ON p_partkey = partition WHERE n IS NULL OR n > 1")
-def assignment_faults_whole(spark, sf_dir):
     a = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("partition"), F.col("l_suppkey").alias("member"))
     return P.assignment_faults(a, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partition")), "partition", "member")
 

@@ -44,7 +44,7 @@ def _declare() -> None:
     rule("rule_read_cost", lambda n: R.read_cost(n.x, n.y), "CASE WHEN x THEN 8.0::DOUBLE WHEN y THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END")
     rule("rule_follower_may_serve", lambda n: R.follower_may_serve(n.e + 20, n.e + 20 - n.b, n.c * 2, n.d), "b <= c * 2 AND b <= d")
     rule("rule_format_path", lambda n: R.format_path(n.a, n.c), "CASE WHEN a > c THEN 'refused' WHEN a = c THEN 'zero-copy' ELSE 'converted' END")
-    rule("rule_delivery_guarantee", lambda n: R.delivery_guarantee(n.mode == "all", n.x, n.y, n.z, n.x & n.y), "CASE WHEN mode <> 'all' THEN 'at-most-once' WHEN NOT z AND NOT (x AND y) THEN 'at-most-once' WHEN x AND y THEN 'exactly-once' ELSE 'at-least-once' END")
+    rule("rule_delivery_guarantee", lambda n: R.delivery_guarantee(n.mode == "all", n.x, n.y, n.z, n.x & n.y), "CASE WHEN mode <> 'all' OR NOT z THEN 'at-most-once' WHEN x AND y THEN 'exactly-once' ELSE 'at-least-once' END")
     rule("rule_order_is_safe", lambda n: R.order_is_safe(n.c, n.x), "c = 1 OR x")
     rule("rule_would_reorder", lambda n: R.would_reorder(n.c, n.x, n.y), "NOT (c = 1 OR x) AND y")
     rule("rule_ack_outcome", lambda n: R.ack_outcome(n.mode, n.a, n.c), "CASE mode WHEN 'none' THEN 'nothing' WHEN 'leader' THEN 'follower loss' ELSE CASE WHEN a < c THEN 'refused' ELSE 'leader loss' END END")

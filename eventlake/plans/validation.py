@@ -183,14 +183,8 @@ def sequencer_ranges(spark, sf_dir):
     return g.select("o_custkey", F.coalesce(before, F.lit(0)).alias("first_id"), "n")
 
 
-@register("priority_order", "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS position FROM orders WHERE o_custkey % 10 = 0")
+@register("priority_order", "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS position FROM orders")
 def priority_order(spark, sf_dir):
-    rn = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey"))
-    return table(spark, sf_dir, "orders").filter("o_custkey % 10 = 0").select("o_orderpriority", "o_orderkey", rn.cast("bigint").alias("position"))
-
-
-@register("priority_order_whole", "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS position FROM orders")
-def priority_order_whole(spark, sf_dir):
     rn = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey"))
     return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", rn.cast("bigint").alias("position"))
 

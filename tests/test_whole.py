@@ -21,7 +21,7 @@ def test_connected_components_of_all_customers(spark):
     for r in rows_of(spark, "customer"):
         a, b = sorted((root(r.c_custkey), root(r.c_custkey + 1 + r.c_nationkey % 2)))
         up[b] = a
-    got = {r.node: r.component for r in catalog.QUERIES["connected_components_whole"](spark, SF).collect()}
+    got = {r.node: r.component for r in catalog.QUERIES["connected_components"](spark, SF).collect()}
     assert got == {x: root(x) for x in up}
 
 
@@ -30,11 +30,11 @@ def test_layers_of_all_parts(spark):
     layer = dict.fromkeys({x for e in edges for x in e}, 0)
     for a, b in sorted(edges):
         layer[b] = max(layer[b], layer[a] + 1)
-    assert {r.node: r.layer for r in catalog.QUERIES["topological_layers_whole"](spark, SF).collect()} == layer
+    assert {r.node: r.layer for r in catalog.QUERIES["topological_layers"](spark, SF).collect()} == layer
 
 
 def test_every_row_is_looked_up_and_ranked(spark):
     n = len(rows_of(spark, "events"))
-    for name in ("segment_lookup_whole", "offset_index_floor_whole", "checkpoint_translation_whole"):
+    for name in ("segment_lookup", "offset_index_floor", "checkpoint_translation"):
         assert catalog.QUERIES[name](spark, SF).count() == n
-    assert catalog.QUERIES["priority_order_whole"](spark, SF).count() == len(rows_of(spark, "orders"))
+    assert catalog.QUERIES["priority_order"](spark, SF).count() == len(rows_of(spark, "orders"))
