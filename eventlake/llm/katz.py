@@ -1,16 +1,22 @@
-"""A word bigram model with Katz backoff, trained and applied over the whole corpus.
+"""A word trigram model with Katz backoff, trained and applied over the whole corpus.
 
-Probability of a word v after u: d(c(uv)) c(uv) / c(u) where training has the bigram, with
-Good-Turing discounts d for counts up to ``K``; else alpha(u) P(v), alpha(u) being what the
-discounts of u's bigrams leave, divided by what P leaves of the words that follow u, so that the
-probabilities after each u sum to one exactly. P is the Good-Turing discounted unigram; all words
-that training lacks are one class, which gets what P's discounts leave.
+Probability of a word w after u v: d(c(uvw)) c(uvw) / c(uv) where the model has the trigram, with
+Good-Turing discounts d for counts up to ``K``; else alpha(uv) P(w|v), alpha(uv) being what the
+trigrams of uv leave, divided by what P(.|v) leaves of the words that follow u v; so the
+probabilities after each u v sum to one exactly. P(w|v) is made likewise from bigrams and the
+Good-Turing discounted unigram; all words that training lacks are one class, which gets what the
+unigram's discounts leave. Every token is thus evaluated from the highest order down.
+
+Trigrams that training has once are left to the backoff (``LEAST_TRIGRAM``), as is common for the
+highest order: they are most of all trigrams and tell least. A trigram that occurs twice consists
+of bigrams that do, so only such ones are counted, and the rule loses no other.
 
 Counts never meet in one place. Documents are held in blocks of a few megabytes. A block sends
-its distinct words, and then its distinct bigrams, to parts of the hash space as packed sorted
-arrays, and gets the corpus counts back in the same order; the parts are written as a table. A
-word that makes up a large share of a part has its bigrams dealt, by the second word, over as many
-parts as its count needs; what alpha is made of is then summed over them.
+its distinct words, then its distinct bigrams, then its trigrams, to parts of the hash space as
+packed sorted arrays, and gets the corpus counts back in the same order; the parts are written as
+tables. A word that makes up a large share of a part has its bigrams dealt, by the second word,
+over as many parts as its count needs; what alpha is made of is then summed over them. Pairs of
+words are spread by their own hash.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm.bytetext import LOWER, Spans, distinct_of, mix, slices, words
-from eventlake.llm.scratch import written
+from eventlake.llm.scratch import release, written
 
 #: Counts above K are not discounted.
 K = 5
 BLOCK_BYTES = 8 << 20
 #: Tokens for each part of the hash space.
 PART_TOKENS = 1_500_000
+#: Trigrams that training has less often are not in the model.
+LEAST_TRIGRAM = 2
 #: A word is spread if it is more than 1 / (SPREAD * parts) of the training tokens, and more than
 #: LEAST_SHARE of them, so that there are at most a million such words in a corpus of any size.
 SPREAD = 4
@@ -312,32 +320,42 @@ def _split(blob: bytes) -> list[bytes]:
     return out
 
 
-# --- scores ---------------------------------------------------------------------------------
+# --- trigrams -------------------------------------------------------------------------------
 
 
-def _score(parts: int, unigrams: Unigrams, pair_discount: np.ndarray, train_docs: int, common_words: dict[int, tuple[list[int], float]]):
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    taken = np.array([r * (1 - pair_discount[r]) for r in range(1, K + 1)])
+@dataclass(frozen=True)
+class Bigrams:
+    """What the driver knows beside the unigrams: a few numbers, and the spread words."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        blocks = left.to_pylist()
-        if not blocks:
-            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
-        (block,) = blocks
-        replies = right.to_pylist()
+    parts: int
+    unigrams: Unigrams
+    discount: tuple[float, ...]
+    train_docs: int
+    common: dict[int, tuple[list[int], float]]
+
+
+def _damped(counts: np.ndarray, discount: tuple[float, ...]) -> np.ndarray:
+    return np.array([1.0, *discount[1:], 1.0])[np.minimum(counts, K + 1)] * counts
+
+
+class _Known:
+    """A block with all that words' and bigrams' replies tell of it."""
+
+    def __init__(self, block: dict, replies: list[dict], model: Bigrams):
         of_words, of_pairs = [r for r in replies if r["needs"] is None], sorted((r for r in replies if r["needs"] is not None), key=lambda r: r["part"])
-        vocabulary, counts, sequence, lengths, before, first, second, place, part, order, common = _pairs(block, of_words, parts, unigrams.total)
-        context = counts.astype(np.float64)
-        context[np.searchsorted(vocabulary, START)] = train_docs
-        pair_count = np.empty(len(first), np.int64)
-        pair_count[order] = np.concatenate([unpack(r["counts"], np.int64) for r in of_pairs])
-        flat, left_mass, rest = np.zeros(len(vocabulary), bool), np.ones(len(vocabulary)), np.ones(len(vocabulary))
+        unigrams = model.unigrams
+        self.vocabulary, self.counts, self.sequence, self.lengths, before, self.first, self.second, self.place, _, order, common = _pairs(block, of_words, model.parts, unigrams.total)
+        context = self.counts.astype(np.float64)
+        context[np.searchsorted(self.vocabulary, START)] = model.train_docs
+        self.pair_count = np.empty(len(self.first), np.int64)
+        self.pair_count[order] = np.concatenate([unpack(r["counts"], np.int64) for r in of_pairs])
+        taken = np.array([r * (1 - model.discount[r]) for r in range(1, K + 1)])
+        flat, left_mass, rest = np.zeros(len(self.vocabulary), bool), np.ones(len(self.vocabulary)), np.ones(len(self.vocabulary))
         at = 0
         for r in of_pairs:
             blobs = _split(r["needs"])
             n = len(unpack(r["counts"], np.int64))
-            own = first[order[at : at + n]]
+            own = self.first[order[at : at + n]]
             at += n
             u = own[np.concatenate([[True], own[1:] != own[:-1]])]
             bits = [np.unpackbits(unpack(b, np.uint8))[: len(u)].astype(bool) for b in blobs[:2]]
@@ -347,24 +365,175 @@ def _score(parts: int, unigrams: Unigrams, pair_discount: np.ndarray, train_docs
             left_mass[need] = (low * taken).sum(1)
             rest[need] = 1 - unpack(blobs[2 + K], np.uint64).view(np.float64)
         for i in np.flatnonzero(common):
-            low, covered = common_words.get(int(vocabulary[i].view(np.int64)), ([0] * K, 0.0))
+            low, covered = model.common.get(int(self.vocabulary[i].view(np.int64)), ([0] * K, 0.0))
             flat[i] = not any(low)
             left_mass[i], rest[i] = (np.array(low) * taken).sum(), 1 - covered
         # where nothing is discounted, one more count is the mass of what was not seen
-        denominator = context + flat
+        self.over = context + flat
         left_mass = np.where(flat, 1.0, left_mass)
-        p = unigrams.probability(counts)
-        d = np.array([1.0, *pair_discount[1:], 1.0])[np.minimum(pair_count, K + 1)]
+        p = unigrams.probability(self.counts)
         with np.errstate(divide="ignore", invalid="ignore"):
-            known = d * pair_count / denominator[first]
-            backed = left_mass[first] / denominator[first] / rest[first] * p[second]
-            pair = np.log10(np.where(pair_count > 0, known, np.where(context[first] > 0, backed, p[second])))
-        docs = np.repeat(np.arange(len(lengths)), lengths)
-        token_counts = counts[sequence]
+            known = _damped(self.pair_count, model.discount) / self.over[self.first]
+            backed = left_mass[self.first] / self.over[self.first] / rest[self.first] * p[self.second]
+        #: The probability of the second word of each bigram after its first.
+        self.pair = np.where(self.pair_count > 0, known, np.where(context[self.first] > 0, backed, p[self.second]))
+        self._trigrams(model.parts)
+
+    def _trigrams(self, parts: int) -> None:
+        begin = np.cumsum(self.lengths) - self.lengths
+        previous = np.empty(len(self.place), np.int64)
+        previous[1:] = self.place[:-1]
+        previous[begin] = 0
+        often = self.pair_count >= LEAST_TRIGRAM
+        #: Tokens behind a bigram that can begin a trigram of the model.
+        self.behind = often[previous]
+        self.behind[begin] = False
+        tokens = np.flatnonzero(self.behind)
+        pairs, _, which = distinct_of(previous[tokens].astype(np.uint64))
+        pairs = pairs.astype(np.int64)
+        hashes = mix(mix(self.vocabulary[self.first[pairs]]) * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[self.second[pairs]])
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        #: The contexts, by their hashes, and the context of each token behind one.
+        self.contexts, self.context_hash, self.context_of = pairs[order], hashes[order], rank[which]
+        self.context_part = part_of(self.context_hash, parts)
+        able = often[self.place[tokens]]
+        #: Distinct trigrams that can be of the model: (context, bigram of its last two words), by context.
+        width = np.int64(max(len(self.first), 1))
+        key, _, self.trigram_of = distinct_of((self.context_of[able] * width + self.place[tokens[able]]).astype(np.uint64))
+        self.trigram_context, self.trigram_pair = np.divmod(key.astype(np.int64), width)
+        self.able = tokens[able]
+
+
+ASKED3 = "part int, block long, body binary"
+_ASKED3_TYPES = [pa.int32(), pa.int64(), pa.binary()]
+
+
+def _asked3(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ASKED3_TYPES, strict=True)], names=["part", "block", "body"])
+
+
+def _ask_trigrams(model: Bigrams):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for block in left.to_pylist():
+            x = _Known(block, right.to_pylist(), model)
+            train = np.repeat(~np.array(block["held"], bool), x.lengths)[x.able]
+            counts = np.bincount(x.trigram_of[train], minlength=len(x.trigram_context))
+            runs = np.bincount(x.trigram_context, minlength=len(x.contexts))
+            cuts = np.searchsorted(x.context_part, np.arange(model.parts + 1))
+            ends = np.concatenate([[0], np.cumsum(runs)])
+            for p in np.flatnonzero(np.diff(cuts)):
+                c, t = slice(cuts[p], cuts[p + 1]), slice(ends[cuts[p]], ends[cuts[p + 1]])
+                pairs = x.trigram_pair[t]
+                words, first, which = distinct_of(x.vocabulary[x.second[pairs]])
+                # c(vw) and the denominator of v make P(w|v) of every trigram that training has
+                over = x.over[x.second[x.contexts[c]]]
+                body = [pack(x.context_hash[c], True), pack(runs[c].astype(np.uint32)), pack(x.pair_count[x.contexts[c]]), pack(over.astype(np.int64)),
+                        pack(words, True), pack(which.astype(np.uint32)), pack(counts[t].astype(np.uint32)), pack(x.pair_count[pairs])]
+                rows.append((int(p), block["block"], _join(body)))
+        return _asked3(rows)
+
+    return run
+
+
+def _sum_trigrams(model: Bigrams):
+    """Corpus counts of trigrams, and for each context what alpha is made of: how many trigrams of
+    the model occur so often, up to ``K`` and more often, and the mass that P(.|v) gives them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = [(r["block"], _split(r["body"])) for r in table.to_pylist()]
+        part = table.column("part")[0].as_py()
+        contexts = [unpack(b[0], np.uint64, True) for _, b in rows]
+        runs = [unpack(b[1], np.uint32).astype(np.int64) for _, b in rows]
+        us, u_first, u_place = distinct_of(np.concatenate(contexts))
+        over = np.concatenate([unpack(b[3], np.int64) for _, b in rows])[u_first]
+        ws, _, w_place = distinct_of(np.concatenate([unpack(b[4], np.uint64, True) for _, b in rows]))
+        u_at, w_at, keys = 0, 0, []
+        for (_, b), f, n in zip(rows, contexts, runs, strict=True):
+            words = len(unpack(b[4], np.uint64, True))
+            keys.append(np.repeat(u_place[u_at : u_at + len(f)], n) * max(len(ws), 1) + w_place[w_at : w_at + words][unpack(b[5], np.uint32).astype(np.int64)])
+            u_at, w_at = u_at + len(f), w_at + words
+        distinct, first, place = distinct_of(np.concatenate(keys).astype(np.uint64))
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, place, np.concatenate([unpack(b[6], np.uint32) for _, b in rows]).astype(np.int64))
+        total[total < LEAST_TRIGRAM] = 0
+        u = distinct.astype(np.int64) // max(len(ws), 1)
+        pair_count = np.concatenate([unpack(b[7], np.int64) for _, b in rows])[first]
+        seen = total > 0
+        low, more, covered = np.zeros((len(us), K), np.int64), np.zeros(len(us), np.int64), np.zeros(len(us))
+        small = seen & (total <= K)
+        np.add.at(low, (u[small], total[small] - 1), 1)
+        np.add.at(more, u[total > K], total[total > K])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            np.add.at(covered, u[seen], (_damped(pair_count, model.discount) / over[u])[seen])
+        out, at, u_at = [], 0, 0
+        for (block, _), f, n in zip(rows, contexts, runs, strict=True):
+            mine, edge = place[at : at + int(n.sum())], u_place[u_at : u_at + len(f)]
+            at, u_at = at + len(mine), u_at + len(f)
+            needs = [*(pack(low[edge, i]) for i in range(LEAST_TRIGRAM - 1, K)), pack(more[edge]), pack(covered[edge].view(np.uint64))]
+            out.append((block, part, pack(total[mine]), _join(needs), None, -3, None))
+        out.append((-1, part, None, None, _of_counts(total), None, None))
+        return _reply(out)
+
+    return run
+
+
+# --- scores ---------------------------------------------------------------------------------
+
+
+def trigram_discounts(of_counts: list[int]) -> np.ndarray:
+    """d[0..K] from how many trigrams occur 1, 2, ... K + 1 times: (r + 1) n(r + 1) / (r n(r)).
+
+    The model has none that occur once, which leaves Katz's share of them undefined, so the plain
+    Good-Turing ratio stands. Where it is not in (0, 1), half a count is taken off.
+    """
+    n = [0, *of_counts]
+    d = np.array([1.0] + [(r - 0.5) / r for r in range(1, K + 1)])
+    for r in range(LEAST_TRIGRAM, K + 1):
+        if n[r] and 0 < (value := (r + 1) * n[r + 1] / (r * n[r])) < 1:
+            d[r] = value
+    return d
+
+
+def _score(model: Bigrams, discount: np.ndarray):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks = left.to_pylist()
+        if not blocks:
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+        (block,), unigrams = blocks, model.unigrams
+        replies = right.to_pylist()
+        x = _Known(block, [r for r in replies if r["word"] != -3], model)
+        of_trigrams = sorted((r for r in replies if r["word"] == -3), key=lambda r: r["part"])
+        found = [_split(r["needs"]) for r in of_trigrams]
+        gather = lambda i, dtype: np.concatenate([np.zeros(0, dtype), *(unpack(b[i], dtype) for b in found)])
+        low = [gather(i, np.int64) for i in range(K + 1 - LEAST_TRIGRAM)]
+        more, covered = gather(K + 1 - LEAST_TRIGRAM, np.int64), gather(K + 2 - LEAST_TRIGRAM, np.uint64).view(np.float64)
+        count = np.concatenate([np.zeros(0, np.int64), *(unpack(r["counts"], np.int64) for r in of_trigrams)])
+        held = more + sum((r * n for r, n in zip(range(LEAST_TRIGRAM, K + 1), low, strict=True)), np.zeros(len(more), np.int64))
+        kept = more + sum((r * discount[r] * n for r, n in zip(range(LEAST_TRIGRAM, K + 1), low, strict=True)), np.zeros(len(more)))
+        context = x.pair_count[x.contexts]
+        # where the trigrams of a context leave nothing, one more count is the mass of what was not seen
+        full = (held == context) & (kept == held)
+        over = (context + full).astype(np.float64)
+        p = x.pair[x.place]
+        if len(x.contexts):
+            alpha = (1 - kept / over) / (1 - covered)
+            p[x.behind] *= alpha[x.context_of]
+            hit = count[x.trigram_of] > 0
+            t = x.trigram_of[hit]
+            p[x.able[hit]] = _damped(count[t], tuple(discount)) / over[x.trigram_context[t]]
+        docs = np.repeat(np.arange(len(x.lengths)), x.lengths)
+        token_counts = x.counts[x.sequence]
         base = np.log10((token_counts + 1) / (unigrams.total + unigrams.distinct + 1))
         columns = [
-            block["ids"], block["held"], lengths, np.bincount(docs[token_counts > 0], minlength=len(lengths)), np.full(len(lengths), unigrams.total),
-            np.bincount(docs, base, len(lengths)), np.bincount(docs, pair[place], len(lengths)),
+            block["ids"], block["held"], x.lengths, np.bincount(docs[token_counts > 0], minlength=len(x.lengths)), np.full(len(x.lengths), unigrams.total),
+            np.bincount(docs, base, len(x.lengths)), np.bincount(docs, np.log10(p), len(x.lengths)),
         ]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -387,6 +556,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     asked = blocks.select("block", "vocabulary", "train").mapInArrow(_ask_words(parts), "part int, block long, words binary, train binary")
     of_words = written(asked.groupBy("part").applyInArrow(_sum_words, REPLY))
+    release(docs.sparkSession)
     total, distinct, *of_counts = _totals(of_words, K + 3)
     unigrams = Unigrams(total, distinct, tuple(discounts(of_counts)), tuple(of_counts[:K]))
 
@@ -397,9 +567,17 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     train_docs = blocks.select(F.explode("held").alias("h")).agg(F.count_if(~F.col("h"))).first()[0]
     spread = of_pairs.filter("block = -2").groupBy("word").agg(F.array(*(F.sum(F.col("stats")[i]) for i in range(K))).alias("low"), F.sum("covered").alias("covered"))
     common = {r["word"]: (list(r["low"]), r["covered"]) for r in spread.toLocalIterator()}  # see LEAST_SHARE
+    model = Bigrams(parts, unigrams, tuple(pair_discount), train_docs, common)
+    release(docs.sparkSession)
+
     answers = replies.unionByName(of_pairs.filter("block >= 0"))
+    trigrams = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_trigrams(model), ASKED3)
+    of_trigrams = written(trigrams.groupBy("part").applyInArrow(_sum_trigrams(model), REPLY))
+    discount = trigram_discounts(_totals(of_trigrams, K + 1))
+    release(docs.sparkSession)
+    answers = answers.unionByName(of_trigrams.filter("block >= 0"))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(parts, unigrams, pair_discount, train_docs, common), result)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model, discount), result)
 
 
 def _totals(replies: DataFrame, n: int) -> list[int]:
