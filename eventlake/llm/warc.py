@@ -4,9 +4,10 @@ Writer. Every record is one row of bytes that Spark's text sink writes, so files
 through the job's commit protocol on any store Spark can write to. A payload of at least
 ``min_revisit_bytes`` bytes that an earlier page (by id) already holds becomes a ``revisit``.
 
-Reader. The magic ``WARC/1.1`` may also occur inside payloads. Tasks emit every place that
-looks like a record with the place of the record that would follow it; pointer jumping from
-byte 0 of each file then keeps only what the chain of real records reaches.
+Reader. The magic ``WARC/1.1`` may also occur inside payloads. A task lists every place of a
+file that looks like a record with the place of the record that would follow it; pointer jumping
+from byte 0 then keeps only what the chain of real records reaches, and only that is read and
+hashed. Files are bounded in bytes by the writer, so a task holds a whole one.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAGIC = b"WARC/1.1\r\n"
-#: Records per file: bounds the bytes that the reader takes as one row.
-RECORDS_PER_FILE = 4000
+#: Bytes of a file, unless one record alone has more; the reader takes a file as one row.
+FILE_BYTES = 64 << 20
+#: Payloads are written by size classes, each four times the one before, so that as many records as fit
+#: make a file whatever their sizes; this is the largest payload of the first class.
+CLASS_BYTES = 32 << 10
 #: Rows of the revisit table up to which it is broadcast (24 bytes each); beyond it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -49,12 +52,12 @@ def write_archives(
     payload_col: str = "html",
     min_revisit_bytes: int = 100,
     date: str = "2024-01-01T00:00:00Z",
-    records_per_file: int = RECORDS_PER_FILE,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Writes one record per row of ``pages`` below ``path``.
 
     A null payload is written as an empty one and a null url as an empty target; line breaks in
-    urls become spaces. Rows that repeat an id each get a record; a row is never its own
+    urls become spaces. Files hold up to ``file_bytes`` bytes of payload, or one record. Rows that repeat an id each get a record; a row is never its own
     revisit. An empty table gives an archive without records. Further columns are not read.
     """
     spark = pages.sparkSession
@@ -83,19 +86,23 @@ def write_archives(
     )
     # The text sink ends each row with a line feed, which is the last byte of the record.
     record = F.concat(head.cast("binary"), F.when(is_revisit, F.lit(b"")).otherwise(F.col("__body")), F.lit(b"\r\n\r"))
-    (
-        rows.select(record.cast("string").alias("value"))
-        .write.option("maxRecordsPerFile", str(records_per_file))
-        .option("compression", "none")
-        .text(path)
-    )
+    size = lambda n: F.when(n <= CLASS_BYTES, 0).otherwise(F.ceil(F.log(4.0, n / CLASS_BYTES))).cast("int")
+    held = pages.select(size(F.octet_length(body)).alias("size")).distinct().collect()  # a few numbers
+    for k in sorted({r["size"] for r in held} | {0}):
+        (
+            rows.filter(size(F.col("__n")) == k)
+            .select(record.cast("string").alias("value"))
+            .write.option("maxRecordsPerFile", str(max(1, file_bytes // (CLASS_BYTES * 4**k))))
+            .option("compression", "none")
+            .text(f"{path}/size={k}")
+        )
 
 
 def _bytes(payload_col: str) -> Column:
     return F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
 
 
-CANDIDATE = T.StructType(
+RECORD = T.StructType(
     [
         T.StructField("file", T.StringType()),
         T.StructField("start", T.LongType()),
@@ -112,8 +119,8 @@ CANDIDATE = T.StructType(
 )
 
 
-def parse_record(data: bytes, start: int) -> dict | None:
-    """The record that would begin at ``start``, or None where header or length cannot hold."""
+def parse_head(data: bytes, start: int) -> tuple[dict, int, int] | None:
+    """(fields, block, next) of the record that would begin at ``start``, or None where header or length cannot hold."""
     head_end = data.find(b"\r\n\r\n", start)
     if head_end < 0:
         return None
@@ -125,9 +132,15 @@ def parse_record(data: bytes, start: int) -> dict | None:
     block, following = head_end + 4, head_end + 4 + length + 4
     if length < 0 or following > len(data) or data[following - 4 : following] != b"\r\n\r\n":
         return None
+    return fields, block, following
+
+
+def parse_record(data: bytes, start: int) -> dict:
+    """The record that begins at ``start``, its payload hashed."""
+    fields, block, following = parse_head(data, start)
     text = lambda k: fields.get(k, b"").decode("utf-8", "replace")
-    http_end = data.find(b"\r\n\r\n", block, block + length)
-    body = data[http_end + 4 : block + length] if http_end >= 0 else data[block : block + length]
+    http_end = data.find(b"\r\n\r\n", block, following - 4)
+    body = memoryview(data)[http_end + 4 if http_end >= 0 else block : following - 4]
     declared = text(b"x-payload-length")
     return {
         "start": start, "next": following, "record_type": text(b"warc-type"), "record_id": text(b"warc-record-id"),
@@ -137,21 +150,36 @@ def parse_record(data: bytes, start: int) -> dict | None:
     }
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in CANDIDATE])
+def links(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, next) of every place that looks like a whole record."""
+    start, following, at = [], [], data.find(MAGIC)
+    while at >= 0:
+        if (found := parse_head(data, at)) is not None:
+            start.append(at)
+            following.append(found[2])
+        at = data.find(MAGIC, at + 1)
+    return np.array(start, np.int64), np.array(following, np.int64)
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in RECORD])
+    for batch in batches:
+        for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            data = content.as_buffer().to_pybytes()
+            start, following = links(data)
+            chain = np.sort(start[reachable(start, following)]).tolist()
+            for i in range(0, len(chain), 2000):
+                yield pa.RecordBatch.from_pylist([{"file": name} | parse_record(data, at) for at in chain[i : i + 2000]], schema=schema)
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            data = content.as_py()
-            rows, at = [], data.find(MAGIC)
-            while at >= 0:
-                if (found := parse_record(data, at)) is not None:
-                    rows.append({"file": name.as_py()} | found)
-                at = data.find(MAGIC, at + 1)
-                if len(rows) >= 2000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            data = content.as_buffer().to_pybytes()
+            start, following = links(data)
+            on = reachable(start, following)
+            row = {"file": name, "records": int(on.sum()), "rejected": int((~on).sum()), "reached": int(following[on].max(initial=0)), "bytes": len(data)}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("file", pa.string()), *((c, pa.int64()) for c in list(row)[1:])]))
 
 
 def reachable(start: np.ndarray, following: np.ndarray, roots: tuple[int, ...] = (0,)) -> np.ndarray:
@@ -178,20 +206,22 @@ def reachable(start: np.ndarray, following: np.ndarray, roots: tuple[int, ...] =
     return out
 
 
-def _keep_chain(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows[reachable(rows["start"].to_numpy(np.int64), rows["next"].to_numpy(np.int64))]
-
-
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place in the archives below ``path`` that looks like a whole record."""
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
-    return files.mapInArrow(_candidates, CANDIDATE)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", "content")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives below ``path``, chain-verified, one row each.
 
-    Groups are files, whose records the writer bounds. A file that does not begin with a record
-    yields nothing; after a damaged record the rest of its file is not reached.
+    A file that does not begin with a record yields nothing; after a damaged record the rest of its
+    file is not reached: ``reached`` tells of both. Members compressed by gzip are not opened.
+    """
+    return _files(spark, path).mapInArrow(_records, RECORD)
+
+
+def reached(spark: SparkSession, path: str) -> DataFrame:
+    """(file, records, rejected, reached, bytes): how far each file's chain goes.
+
+    ``rejected`` places look like records and are not on the chain; a file is whole if ``reached`` equals ``bytes``.
     """
-    return candidates(spark, path).groupBy("file").applyInPandas(_keep_chain, CANDIDATE)
+    return _files(spark, path).mapInArrow(_reached, "file string, records long, rejected long, reached long, bytes long")

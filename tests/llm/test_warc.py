@@ -31,8 +31,10 @@ def test_round_trip_with_forged_magic(spark):
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type int").repartition(3)
     path = scratch.shared_dir(spark) + "/w"
-    warc.write_archives(pages, path, records_per_file=2)
-    assert warc.candidates(spark, path).count() == 10
+    warc.write_archives(pages, path, file_bytes=2 * warc.CLASS_BYTES)
+    found = warc.reached(spark, path).collect()
+    assert sum(r.records for r in found) == 9 and sum(r.rejected for r in found) == 1
+    assert all(r.reached == r.bytes and r.records <= 2 for r in found)
     got = {r.record_id: r for r in warc.read_archives(spark, path).collect()}
     assert len(got) == 9
     for i, _, html, _ in rows:
@@ -71,6 +73,30 @@ def test_damaged_file_keeps_what_precedes_the_damage(spark, tmp_path):
     cut = tmp_path / "cut.warc"
     cut.write_bytes(whole[: len(whole) - 9])
     assert warc.read_archives(spark, f"file://{cut}").count() == 4
+    r = warc.reached(spark, f"file://{cut}").first()
+    assert r.records == 4 and 0 < r.reached < r.bytes == len(whole) - 9
     late = tmp_path / "late.warc"
     late.write_bytes(b"?" + whole)
     assert warc.read_archives(spark, f"file://{late}").count() == 0
+
+
+def test_a_payload_full_of_forged_records_is_read_once(spark, monkeypatch):
+    head = b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    body = head * 3000
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    hashed = []
+    real = warc.hashlib.sha256
+    monkeypatch.setattr(warc.hashlib, "sha256", lambda b: hashed.append(len(b)) or real(b))
+    start, following = warc.links(data)
+    chain = start[warc.reachable(start, following)].tolist()
+    assert len(start) == 3001 and chain == [0]
+    assert [warc.parse_record(data, at)["next"] for at in chain] == [len(data)] and len(hashed) == 1
+
+
+def test_large_payloads_get_files_of_their_own(spark):
+    rows = [(i, "u", chr(97 + i) * n) for i, n in enumerate([10, 40_000, 200_000, 3_000_000, 10, 200_000])]
+    path = scratch.shared_dir(spark) + "/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, file_bytes=600_000)
+    found = warc.reached(spark, path).collect()
+    assert sum(r.records for r in found) == 6 and all(r.bytes < 610_000 or r.records == 1 for r in found)
+    assert sorted(r.payload_length for r in warc.read_archives(spark, path).collect()) == [10, 10, 40_000, 200_000, 200_000, 3_000_000]
