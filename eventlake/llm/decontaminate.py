@@ -140,12 +140,13 @@ def _search(items: list[tuple[int, str]], chars_per_edit: int):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT, least_chars: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row (doc_id, item_id, distance, start, stop) per document and item within the budget.
 
     Texts are compared in lower case with white space collapsed, in which form ``start`` and
     ``stop`` count characters. An item of n characters may differ by n // chars_per_edit edits;
-    its best occurrence is reported. Null and empty texts and items match nothing, nor do items
+    its best occurrence is reported, of ties the first. Every block of items is one more pass over the
+    documents. Null and empty texts and items match nothing, nor do items
     below ``least_chars``. Items of fewer than LEAST_CHARS characters count where they stand unchanged
     and on word boundaries. Repeated documents or items give repeated rows. Further columns are not
     read; either table may be empty.

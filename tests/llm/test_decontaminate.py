@@ -69,7 +69,7 @@ def test_leaks_equal_brute_force(spark):
             if len(a) >= D.LEAST_CHARS and b and (n := distance_in(a, b)) <= len(a) // D.CHARS_PER_EDIT:
                 want.append((d, i, n))
     for block in (D.BLOCK_CHARS, 300):
-        got = D.leaks(df, bench, block_chars=block).collect()
+        got = D.leaks(df, bench, block_chars=block, least_chars=D.LEAST_CHARS).collect()
         assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == sorted(want)
         by_id = {d: D.normalise(t) for d, t, _ in docs}
         norm = [(i, D.normalise(t)) for i, t in items]
@@ -99,7 +99,7 @@ def test_empty_tables(spark):
 def test_short_items_are_found_whole_and_on_word_boundaries(spark):
     items = [(1, "2+2=4"), (2, "Why?"), (3, "你是谁"), (4, "a cat"), (5, " "), (6, None)]
     docs = [(1, "so 2+2=4."), (2, "12+2=45"), (3, "and WHY? said"), (4, "他问你是谁吗"), (5, "a  cat"), (6, "a category, a cat"), (7, "beta cat"), (8, "a cut"), (9, None)]
-    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least_chars=1).collect()
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(1, 1, 0), (3, 2, 0), (4, 3, 0), (5, 4, 0), (6, 4, 0)]
 
 
