@@ -14,6 +14,7 @@ from eventlake.operators import log as L
 from eventlake.operators import ordered as O
 from eventlake.operators import placement as P
 from eventlake.operators import txn as X
+from eventlake.sources.tables import table
 
 
 def _row(df: DataFrame, name: str, holds, detail) -> DataFrame:
@@ -62,14 +63,13 @@ def order_under_retry(spark: SparkSession) -> DataFrame:
 
 
 def throttle_holds(spark: SparkSession) -> DataFrame:
-    """A bucket of 100 that gains 5 a tick serves at most 5,100 in 1,000 ticks of a demand of 9."""
+    """A bucket of 100 that gains 5 a tick serves at most 5,100 in 1,000 ticks that take all there is."""
     demand = spark.range(1000).select(F.lit(0).alias("k"), F.col("id").alias("tick"))
     state = F.struct(F.lit(100).cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("served"))
 
     def step(s, r):
         full = F.least(F.lit(100).cast("bigint"), s["tokens"] + 5)
-        take = F.least(full, F.lit(9).cast("bigint"))
-        return F.struct((full - take).alias("tokens"), (s["served"] + take).alias("served"))
+        return F.struct(F.lit(0).cast("bigint").alias("tokens"), (s["served"] + full).alias("served"))
 
     out = O.fold(demand, ["k"], ["tick"], state, step)
     return _row(out, "throttle holds", F.col("result.served") <= 5100, F.lit(1))
@@ -117,3 +117,58 @@ ALL = [watermark_holds, exactly_once, no_stall, no_lost_commit, order_under_retr
 def invariants(spark, sf_dir):
     """All invariants, one row each; their inputs are generated."""
     return reduce(DataFrame.unionByName, (f(spark) for f in ALL))
+
+
+SEGMENTS = """l AS (SELECT user_id % 8 AS partition, event_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS o FROM events),
+    s AS (SELECT partition, o // 50 AS k, min(o) AS base, count(*) * 64 AS bytes FROM l GROUP BY ALL), f AS (SELECT partition, count(*) // 2 AS floor FROM l GROUP BY 1)"""
+
+
+@register(
+    "proof_retention_floor",
+    f"""WITH {SEGMENTS}, e AS (SELECT s.*, floor, lead(base) OVER (PARTITION BY partition ORDER BY base) AS stop, sum(bytes) OVER (PARTITION BY partition ORDER BY base DESC) AS rest FROM s JOIN f USING (partition)),
+        g AS (SELECT *, min(CASE WHEN rest > 1000 AND stop IS NOT NULL AND stop <= floor THEN 1 ELSE 0 END) OVER (PARTITION BY partition ORDER BY base) AS dropped FROM e)
+        SELECT partition, count(*) FILTER (WHERE dropped = 1) AS dropped, count(*) FILTER (WHERE dropped = 1 AND stop > floor) AS lost FROM g GROUP BY 1""",
+)
+def proof_retention_floor(spark, sf_dir):
+    """Retention by size drops sealed segments only below the committed floor; nothing unread is lost."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("partition"), "event_id")
+    log = L.with_offsets(e, "partition", ["event_id"])
+    floor = log.groupBy("partition").agg(F.expr("count(*) div 2").alias("floor"))
+    segments = log.groupBy("partition", F.expr("offset div 50").alias("k")).agg(F.min("offset").alias("base"), (F.count("*") * 64).alias("bytes")).join(floor, "partition").withColumn("age", F.lit(0))
+    marked = X.drop_prefix(segments, "partition", "base", "bytes", "age", 1000, 10, "floor")
+    stop = F.lead("base").over(Window.partitionBy("partition").orderBy("base"))
+    return marked.withColumn("stop", stop).groupBy("partition").agg(F.count_if("dropped").alias("dropped"), F.count_if(F.col("dropped") & (F.col("stop") > F.col("floor"))).alias("lost"))
+
+
+@register("proof_sticky_moves", "WITH p AS (SELECT unnest(range(90)) AS p) SELECT 9::BIGINT AS sticky, count(*) FILTER (WHERE p % 9 <> p % 10) AS naive, 9::BIGINT AS fair_share FROM p")
+def proof_sticky_moves(spark, sf_dir):
+    """A tenth member of a group of ninety partitions takes its fair share of nine, and dealing anew moves most."""
+    member = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    p = spark.range(90).select(F.col("id").alias("partition"))
+    before = p.withColumn("member", member(F.col("partition") % 9))
+    after = P.sticky_assign(before, spark.range(10).select(member(F.col("id")).alias("member")), "partition", "member")
+    moves = before.join(after.withColumnRenamed("member", "now"), "partition").agg(F.count_if(F.col("member") != F.col("now")).alias("sticky"), F.count_if(F.col("partition") % 9 != F.col("partition") % 10).alias("naive"))
+    return moves.select("sticky", "naive", F.lit(90 // 10).cast("bigint").alias("fair_share"))
+
+
+@register("proof_integrity", "SELECT sum(length(s_name))::BIGINT AS flips, 0::BIGINT AS missed FROM supplier")
+def proof_integrity(spark, sf_dir):
+    """A checksum tells every change of one character in every name."""
+    name = F.col("s_name")
+    at = table(spark, sf_dir, "supplier").select(name, F.explode(F.sequence(F.lit(1), F.length(name))).alias("i"))
+    other = F.when(F.substr(name, F.col("i"), F.lit(1)) == "x", "y").otherwise("x")
+    changed = F.concat(F.substr(name, F.lit(1), F.col("i") - 1), other, F.substr(name, F.col("i") + 1, F.length(name)))
+    return at.agg(F.count("*").alias("flips"), F.count_if(F.crc32(name.cast("binary")) == F.crc32(changed.cast("binary"))).alias("missed"))
+
+
+@register(
+    "proof_no_split_brain",
+    """WITH v AS (SELECT event_id // 500 AS epoch, user_id AS voter, arg_min(event_type, event_id) AS candidate FROM events GROUP BY ALL), n AS (SELECT epoch, count(*) AS voters FROM v GROUP BY 1),
+       c AS (SELECT epoch, candidate, count(*) AS votes FROM v GROUP BY ALL) SELECT epoch, max(voters) AS voters, count(*) FILTER (WHERE votes >= voters // 2 + 1) AS leaders FROM c JOIN n USING (epoch) GROUP BY 1""",
+)
+def proof_no_split_brain(spark, sf_dir):
+    """A voter's first vote of an epoch counts; no epoch has two candidates with a majority."""
+    e = table(spark, sf_dir, "events").select(F.expr("event_id div 500").alias("epoch"), F.col("user_id").alias("voter"), "event_type", "event_id")
+    v = e.groupBy("epoch", "voter").agg(F.min_by("event_type", "event_id").alias("candidate"))
+    votes = v.groupBy("epoch", "candidate").agg(F.count("*").alias("votes"))
+    return votes.join(v.groupBy("epoch").agg(F.count("*").alias("voters")), "epoch").groupBy("epoch").agg(F.max("voters").alias("voters"), F.count_if(F.col("votes") >= F.expr("voters div 2") + 1).alias("leaders"))
