@@ -5,7 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A folder of this machine, where one machine is all there is."""
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="eventlake-")
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -16,7 +24,7 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="eventlake-")
+        root = own_folder(spark)
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

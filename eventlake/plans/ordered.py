@@ -94,7 +94,16 @@ def quota_window(spark, sf_dir):
     return u.withColumn("delay", F.when(F.col("used") > 150, F.ceil((F.col("used") - 150) / 10)).otherwise(F.lit(0)).cast("bigint"))
 
 
-@register("token_bucket")
+BUCKET = """WITH RECURSIVE e AS (SELECT user_id, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM (SELECT user_id, event_id, value, floor(epoch(ts))::BIGINT AS t FROM events)),"""
+
+
+@register(
+    "token_bucket",
+    f"""{BUCKET} r(user_id, n, t, tokens, served, refused) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, 5::DOUBLE, 0::BIGINT, 0::BIGINT FROM e WHERE n = 1
+          UNION ALL SELECT user_id, n, t, CASE WHEN x >= 1 THEN x - 1 ELSE x END, served + CASE WHEN x >= 1 THEN 1 ELSE 0 END, refused + CASE WHEN x >= 1 THEN 0 ELSE 1 END
+          FROM (SELECT e.user_id, e.n, e.t, least(5::DOUBLE, r.tokens + coalesce((e.t - r.t) / 7200::DOUBLE, 0)) AS x, r.served, r.refused FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+        SELECT user_id, max(served) AS served, max(refused) AS refused FROM r GROUP BY 1""",
+)
 def token_bucket(spark, sf_dir):
     """Admission of each event by a per-user bucket of 5 tokens, one back every 2 hours."""
     e = _e(spark, sf_dir).select("user_id", "event_id", "t")
@@ -108,7 +117,13 @@ def token_bucket(spark, sf_dir):
     return O.fold(e, ["user_id"], ["t", "event_id"], state, step).select("user_id", "result.served", "result.refused")
 
 
-@register("leaky_bucket")
+@register(
+    "leaky_bucket",
+    f"""{BUCKET} r(user_id, n, t, level, spilled) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, 0::DOUBLE, 0::DOUBLE FROM e WHERE n = 1
+          UNION ALL SELECT user_id, n, t, least(x, 120::DOUBLE), spilled + greatest(x - 120::DOUBLE, 0)
+          FROM (SELECT e.user_id, e.n, e.t, greatest(0::DOUBLE, r.level - coalesce((e.t - r.t) * 40::DOUBLE / 3600, 0)) + e.value AS x, r.spilled FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+        SELECT user_id, round(max(spilled), 6) AS spilled FROM r GROUP BY 1""",
+)
 def leaky_bucket(spark, sf_dir):
     """Spill of each user's bucket of capacity 120 that drains 40 per hour."""
     e = _e(spark, sf_dir).select("user_id", "event_id", "t", "value")
@@ -167,7 +182,13 @@ def merge_dedupe(spark, sf_dir):
     return a.unionByName(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))).distinct()
 
 
-@register("interval_schedule")
+@register(
+    "interval_schedule",
+    """WITH RECURSIVE i AS (SELECT reader, lo, hi, row_number() OVER (PARTITION BY reader ORDER BY hi, lo) AS n FROM (SELECT o_custkey % 20 AS reader, o_orderkey % 500 AS lo, o_orderkey % 500 + 1 + o_custkey % 25 AS hi FROM orders)),
+       r(reader, n, last, chosen) AS (SELECT reader, 0::BIGINT, -1::BIGINT, 0::BIGINT FROM i WHERE n = 1
+         UNION ALL SELECT i.reader, i.n, CASE WHEN i.lo >= r.last THEN i.hi ELSE r.last END, r.chosen + CASE WHEN i.lo >= r.last THEN 1 ELSE 0 END FROM r JOIN i ON i.reader = r.reader AND i.n = r.n + 1)
+       SELECT reader, max(chosen) AS chosen FROM r GROUP BY 1""",
+)
 def interval_schedule(spark, sf_dir):
     """The most non-overlapping intervals of each reader, earliest finish first."""
     o = table(spark, sf_dir, "orders")

@@ -6,12 +6,13 @@ one to the end of its input and gives the rows it emitted.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlake.operators.staged import own_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The files of a table as a stream, with the batch reader's schema."""
@@ -43,7 +44,7 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what its sources hold now and returns what it wrote."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="eventlake-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark)
     path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
