@@ -29,6 +29,23 @@ def fold(df: DataFrame, keys: list[str], order: list[str], state: Column, step,
     return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, folded.alias("result"))
 
 
+#: Numbers of a range of a total order that one task sums through.
+RANGE = 1_000_000
+
+
+def sum_before(df: DataFrame, order: str, value: str, name: str, rows: int = RANGE) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows with a lower integer ``order``; 0 for the first.
+
+    Ranges of ``rows`` numbers are summed before the shuffle; a window over the ranges carries the sums on,
+    and each range is then ordered by itself.
+    """
+    part = F.floor(F.col(order) / rows).cast("bigint")
+    sums = df.groupBy(part.alias("__r")).agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("__r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("__r", part).join(sums.select("__r", before.alias("__before")), "__r").withColumn(name, F.col("__before") + own).drop("__r", "__before")
+
+
 def slope(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
     """(keys, first, last, slope): change per tick between the first and the last sample."""
     g = df.groupBy(*keys).agg(F.min(t).alias("__a"), F.max(t).alias("__b"), F.min_by(value, t).alias("first"), F.max_by(value, t).alias("last"))

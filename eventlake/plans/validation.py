@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlake.catalog import register
 from eventlake.functions.ticks import tick
+from eventlake.operators import ordered as O
 from eventlake.operators import segments as S
 from eventlake.plans.control import replicas
 from eventlake.plans.log import LOG, event_log
@@ -166,8 +167,8 @@ def failed_log_dirs(spark, sf_dir):
 def reaped_connections(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", tick("ts").alias("t"))
     g = e.groupBy("user_id").agg(F.max("t").alias("last"), F.max_by("event_type", F.struct("t", "event_type")).alias("doing"))
-    now = F.max("last").over(Window.partitionBy(F.lit(1)))
-    return g.select("user_id", ((now - F.col("last") > 7200) & (F.col("doing") != "purchase")).alias("closed"))
+    now = e.agg(F.max("t").alias("now"))  # one row
+    return g.join(F.broadcast(now)).select("user_id", ((F.col("now") - F.col("last") > 7200) & (F.col("doing") != "purchase")).alias("closed"))
 
 
 @register("principal_names", "SELECT c_custkey, CASE WHEN starts_with(c_mktsegment, 'BUI') THEN 'builder' WHEN starts_with(c_mktsegment, 'M') THEN 'machine' WHEN starts_with(c_mktsegment, '') THEN lower(c_mktsegment) END AS principal FROM customer")
@@ -179,8 +180,7 @@ def principal_names(spark, sf_dir):
 @register("sequencer_ranges", "SELECT o_custkey, coalesce(sum(n) OVER (ORDER BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
 def sequencer_ranges(spark, sf_dir):
     g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("o_custkey").rowsBetween(Window.unboundedPreceding, -1))
-    return g.select("o_custkey", F.coalesce(before, F.lit(0)).alias("first_id"), "n")
+    return O.sum_before(g, "o_custkey", "n", "first_id").select("o_custkey", "first_id", "n")
 
 
 @register("priority_order", "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS position FROM orders")
