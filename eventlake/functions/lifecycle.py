@@ -273,3 +273,112 @@ def query_route(owner: Column, arrived_at: Column, owner_alive: Column) -> Colum
 def stamp_choice(kind: Column) -> Column:
     """What a topic's kind of time stamp is good for."""
     return F.when(kind == "create-time", "event time").when(kind == "log-append-time", "retention").otherwise(_refused("unknown kind"))
+
+
+# --- transactions, logs and queues --------------------------------------------------------------
+
+
+def loop_commit(exactly_once: Column, open_txn: Column, offset_given: Column) -> Column:
+    """Whether a consume-transform-produce round may commit: with exactly-once its offset is part of the transaction."""
+    return F.when(~open_txn, _refused("no transaction")).when(exactly_once & ~offset_given, _refused("no offset")).otherwise("committed")
+
+
+def response_order(received: Column, oldest: Column, outstanding: Column) -> Column:
+    """Responses come in the order of their requests."""
+    return F.when(~outstanding, _refused("unknown id")).when(received != oldest, _refused("out of order")).otherwise("matched")
+
+
+def wal_apply(offset: Column, durable_to: Column, applied_to: Column) -> Column:
+    return F.when(offset >= durable_to, _refused("not durable")).when(offset != applied_to, _refused("out of order")).otherwise("applied")
+
+
+def replay_length(entries: Column, checkpoint: Column) -> Column:
+    return entries - checkpoint
+
+
+def segment_unlink(renamed_for: Column, delay: Column, readers: Column) -> Column:
+    """A renamed segment (not null) goes once its delay is over or its last reader has finished."""
+    return F.when(renamed_for.isNull(), _refused("not renamed")).when((renamed_for < delay) & (readers > 0), _refused("readers")).otherwise("unlinked")
+
+
+def topic_by_id(live: Column, retired: Column) -> Column:
+    return F.when(live, "found").when(retired, _refused("retired id")).otherwise(_refused("unknown id"))
+
+
+def epoch_claim(current: Column, epoch: Column) -> Column:
+    return F.when((epoch <= current) & (current != 0), _refused("epoch not above")).otherwise("claimed")
+
+
+def transaction_start(registered: Column, epoch: Column, current: Column, open_txn: Column) -> Column:
+    return F.when(~registered, _refused("unknown")).when(epoch < current, _refused("fenced")).when(open_txn, _refused("open already")).otherwise("begun")
+
+
+def group_type_join(members: Column, group_type: Column, member_type: Column) -> Column:
+    return F.when(member_type == "", _refused("no type")).when(members == 0, member_type).when(member_type != group_type, _refused("other type")).otherwise(group_type)
+
+
+def plan_submission(is_leader: Column, same_members: Column, duplicates: Column) -> Column:
+    """Only the leader's plan counts, for exactly the members, and with no partition twice."""
+    return F.when(~is_leader, _refused("not the leader")).when(~same_members, _refused("other members")).when(duplicates > 0, _refused("partition twice")).otherwise("accepted")
+
+
+def cache_install(cached: Column, version: Column) -> Column:
+    return F.when(version < cached, _refused("older metadata")).otherwise("installed")
+
+
+def chain_write(node: Column, head: Column) -> Column:
+    return F.when(node != head, _refused("not the head")).otherwise("written")
+
+
+def chain_read(node: Column, tail: Column) -> Column:
+    return F.when(node != tail, _refused("not the tail")).otherwise("read")
+
+
+def follower_truncation(serving: Column, log_end: Column, divergence: Column) -> Column:
+    """A new follower stops serving before it truncates, and never grows by it."""
+    return F.when(serving, _refused("serving")).when(divergence > log_end, _refused("beyond log")).otherwise("truncated")
+
+
+def unregistration(leads: Column, hosts: Column) -> Column:
+    return F.when(leads > 0, _refused("leads")).when(hosts > 0, _refused("hosts")).otherwise("unregistered")
+
+
+def rolling_step(known: Column, restarted: Column, under_replicated: Column) -> Column:
+    return F.when(~known, _refused("unknown broker")).when(restarted, _refused("restarted before")).when(under_replicated > 0, _refused("under-replicated")).otherwise("restarted")
+
+
+def request_offer(is_control: Column, depth: Column, capacity: Column) -> Column:
+    """Control requests are never shed."""
+    return F.when(is_control | (depth < capacity), "queued").otherwise("shed")
+
+
+def pool_acquire(in_use: Column, size: Column) -> Column:
+    """A null size is an unknown class."""
+    return F.when(size.isNull(), _refused("unknown class")).when(in_use >= size, _refused("pool full")).otherwise("acquired")
+
+
+def handshake(state: Column, done: Column, ok: Column) -> Column:
+    """The state after one exchange of an authentication."""
+    return F.when(~state.isin("chosen", "authenticating"), _refused("no mechanism")).when(~done, "authenticating").when(ok, "complete").otherwise("failed")
+
+
+def snapshot_load(offset: Column, log_end: Column, loaded_from: Column) -> Column:
+    return F.when(offset > log_end, _refused("ahead of log")).when(offset < loaded_from, _refused("older snapshot")).otherwise("loaded")
+
+
+def internal_topic(taken_by_user: Column, partitions: Column, source_partitions: Column) -> Column:
+    return F.when(taken_by_user, _refused("user topic")).when(partitions != source_partitions, _refused("partition count")).otherwise("created")
+
+
+def pause(assigned: Column, paused: Column) -> Column:
+    return F.when(~assigned, _refused("not assigned")).when(paused, "paused already").otherwise("paused")
+
+
+def fetched(count: Column, position: Column, leader_end: Column) -> Column:
+    """Records that a follower receives; null where it stands beyond its leader."""
+    return F.when(position <= leader_end, F.least(count, leader_end - position))
+
+
+def trace_survived(sent: Column, received: Column) -> Column:
+    """Whether every client header (a map) came through unchanged."""
+    return F.forall(F.map_entries(sent), lambda e: F.try_element_at(received, e["key"]).eqNullSafe(e["value"]))

@@ -78,5 +78,30 @@ def _declare() -> None:
     rule("rule_query_route", lambda n: L.query_route(n.a % 3, n.b % 3, ~n.z), "CASE WHEN z THEN 'standby' WHEN a % 3 = b % 3 THEN 'local' ELSE 'forwarded' END")
     rule("rule_stamp_choice", lambda n: L.stamp_choice(_pick(n.a, ["create-time", "log-append-time", "broken"])), f"CASE {n7} WHEN 'create-time' THEN 'event time' WHEN 'log-append-time' THEN 'retention' ELSE 'refused: unknown kind' END")
 
+    rule("rule_loop_commit", lambda n: L.loop_commit(n.x, ~n.z, n.y), "CASE WHEN z THEN 'refused: no transaction' WHEN x AND NOT y THEN 'refused: no offset' ELSE 'committed' END")
+    rule("rule_response_order", lambda n: L.response_order(n.a, n.c, ~n.z), "CASE WHEN z THEN 'refused: unknown id' WHEN a <> c THEN 'refused: out of order' ELSE 'matched' END")
+    rule("rule_wal_apply", lambda n: L.wal_apply(n.a, n.c, n.b), "CASE WHEN a >= c THEN 'refused: not durable' WHEN a <> b THEN 'refused: out of order' ELSE 'applied' END")
+    rule("rule_replay_length", lambda n: L.replay_length(n.f + n.e, n.e), "f")
+    rule("rule_segment_unlink", lambda n: L.segment_unlink(F.when(~n.z, n.e), F.lit(50), n.a), "CASE WHEN z THEN 'refused: not renamed' WHEN e < 50 AND a > 0 THEN 'refused: readers' ELSE 'unlinked' END")
+    rule("rule_topic_by_id", lambda n: L.topic_by_id(n.x, n.y), "CASE WHEN x THEN 'found' WHEN y THEN 'refused: retired id' ELSE 'refused: unknown id' END")
+    rule("rule_epoch_claim", lambda n: L.epoch_claim(n.a, n.c), "CASE WHEN c <= a AND a <> 0 THEN 'refused: epoch not above' ELSE 'claimed' END")
+    rule("rule_transaction_start", lambda n: L.transaction_start(~n.z, n.a, n.c, n.x), "CASE WHEN z THEN 'refused: unknown' WHEN a < c THEN 'refused: fenced' WHEN x THEN 'refused: open already' ELSE 'begun' END")
+    rule("rule_group_type_join", lambda n: L.group_type_join(n.a, F.lit("consumer"), _pick(n.b % 3, ["", "consumer", "connect"])), "CASE WHEN b % 3 = 0 THEN 'refused: no type' WHEN a = 0 THEN CASE b % 3 WHEN 1 THEN 'consumer' ELSE 'connect' END WHEN b % 3 = 2 THEN 'refused: other type' ELSE 'consumer' END")
+    rule("rule_plan_submission", lambda n: L.plan_submission(n.x, ~n.z, n.a % 2), "CASE WHEN NOT x THEN 'refused: not the leader' WHEN z THEN 'refused: other members' WHEN a % 2 > 0 THEN 'refused: partition twice' ELSE 'accepted' END")
+    rule("rule_cache_install", lambda n: L.cache_install(n.a, n.c), "CASE WHEN c < a THEN 'refused: older metadata' ELSE 'installed' END")
+    rule("rule_chain_write", lambda n: L.chain_write(n.a, n.c), "CASE WHEN a <> c THEN 'refused: not the head' ELSE 'written' END")
+    rule("rule_chain_read", lambda n: L.chain_read(n.a, n.d), "CASE WHEN a <> d THEN 'refused: not the tail' ELSE 'read' END")
+    rule("rule_follower_truncation", lambda n: L.follower_truncation(n.z, n.e, n.f), "CASE WHEN z THEN 'refused: serving' WHEN f > e THEN 'refused: beyond log' ELSE 'truncated' END")
+    rule("rule_unregistration", lambda n: L.unregistration(n.a % 3, n.b % 3), "CASE WHEN a % 3 > 0 THEN 'refused: leads' WHEN b % 3 > 0 THEN 'refused: hosts' ELSE 'unregistered' END")
+    rule("rule_rolling_step", lambda n: L.rolling_step(~n.z, n.y, n.a % 2), "CASE WHEN z THEN 'refused: unknown broker' WHEN y THEN 'refused: restarted before' WHEN a % 2 > 0 THEN 'refused: under-replicated' ELSE 'restarted' END")
+    rule("rule_request_offer", lambda n: L.request_offer(n.z, n.b, n.c), "CASE WHEN z OR b < c THEN 'queued' ELSE 'shed' END")
+    rule("rule_pool_acquire", lambda n: L.pool_acquire(n.a, F.when(~n.z, n.c)), "CASE WHEN z THEN 'refused: unknown class' WHEN a >= c THEN 'refused: pool full' ELSE 'acquired' END")
+    rule("rule_handshake", lambda n: L.handshake(_pick(n.a % 4, ["new", "chosen", "authenticating", "complete"]), n.x, n.y), "CASE WHEN a % 4 IN (0, 3) THEN 'refused: no mechanism' WHEN NOT x THEN 'authenticating' WHEN y THEN 'complete' ELSE 'failed' END")
+    rule("rule_snapshot_load", lambda n: L.snapshot_load(n.e, n.f, n.b), "CASE WHEN e > f THEN 'refused: ahead of log' WHEN e < b THEN 'refused: older snapshot' ELSE 'loaded' END")
+    rule("rule_internal_topic", lambda n: L.internal_topic(n.z, n.a, n.c), "CASE WHEN z THEN 'refused: user topic' WHEN a <> c THEN 'refused: partition count' ELSE 'created' END")
+    rule("rule_pause", lambda n: L.pause(~n.z, n.y), "CASE WHEN z THEN 'refused: not assigned' WHEN y THEN 'paused already' ELSE 'paused' END")
+    rule("rule_fetched", lambda n: L.fetched(n.b, n.e, n.f), "CASE WHEN e <= f THEN least(b, f - e) END")
+    rule("rule_trace_survived", lambda n: L.trace_survived(F.create_map(F.lit("trace"), n.a, F.lit("span"), n.c), F.when(n.x, F.create_map(F.lit("trace"), n.a, F.lit("span"), n.d)).otherwise(F.create_map(F.lit("trace"), n.b, F.lit("__lake.hop"), n.c))), "x AND c = d")
+
 
 _declare()
