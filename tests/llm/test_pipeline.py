@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from eventlake.llm import decontaminate, quality
@@ -46,14 +47,20 @@ def test_quality_stage(stages):
         w, chars, symbols, dup, repeats = counts(r.text)
         if w >= 10 and 100 * repeats <= 20 * w:
             lines = sum(bool(re.search(r"[^\x20\x09-\x0d]", x)) for x in r.text.split("\n"))
-            x = [np.log((chars + 100) / (w + 20)), np.log(1 + 1000 * symbols / (chars + 200)), np.log(1 + 100 * dup / (lines + 20)), np.log(1 + 100 * repeats / (w + 100))]
+            capitals, marks = len(regex.findall(r"\p{Lu}", r.text)), len(re.findall(r"[.,;:!?]", r.text))
+            x = [
+                np.log((chars + 100) / (w + 20)), np.log(1 + 1000 * symbols / (chars + 200)), np.log(1 + 100 * dup / (lines + 20)), np.log(1 + 100 * repeats / (w + 100)),
+                np.log((100 * capitals + 600) / (chars + 400)), np.log((100 * marks + 1000) / (chars + 400)), np.log((w + 40) / (lines + 2)),
+            ]
             groups[r.lang, r.source].append((r.doc_id, x))
     want = set()
     for rows in groups.values():
         x = np.array([v for _, v in rows])
         m, scatter = reference_mcd(x, floors)
-        d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(scatter), x - m)
-        want |= {d for (d, _), v in zip(rows, d2, strict=True) if v <= quality.CUTOFF}
+        # less than usual of what counts upward only is as usual
+        away = np.where([f[3] for f in quality.FEATURES], np.maximum(x - m, 0), x - m)
+        d2 = np.einsum("ni,ij,nj->n", away, np.linalg.inv(scatter), away)
+        want |= {d for (d, _), v in zip(rows, d2, strict=True) if v <= quality.chi2_quantile(1 - quality.TAIL, x.shape[1])}
     assert set(after) == want
 
 
