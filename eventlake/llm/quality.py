@@ -19,7 +19,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlake.llm.scratch import written
+from eventlake.llm.scratch import release, written
 
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -242,12 +242,14 @@ def mcd(df: DataFrame, keys: list[str], names: list[str], floors: list[float], s
     binned = lambda p: near(p).withColumn("bin", F.floor(F.log1p("d2") * BINS))
     params = written(_starts(df, keys, names, floors, prior))
     for _ in range(START_STEPS):
-        params = written(_concentrate(binned(params), [*keys, "start"], names, share, floors, prior))
+        last, params = params, written(_concentrate(binned(params), [*keys, "start"], names, share, floors, prior))
+        release(df.sparkSession, last, times=1)
     best = params.groupBy(*keys).agg(F.min_by(F.struct(*_held(len(names))), F.struct("det", "start")).alias("best"))
     params = written(best.select(*keys, "best.*"))
     for _ in range(MOST_STEPS):
         last, params = params, written(_concentrate(binned(params), keys, names, share, floors, prior))
         moved = params.join(last.select(*keys, F.col("det").alias("was")), keys).agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+        release(df.sparkSession, last, times=1)
         if (moved or 0.0) <= STILL:
             break
     within = 0.975

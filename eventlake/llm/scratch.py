@@ -42,8 +42,9 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing reads any more, and the shuffle files of finished writes.
+def release(spark: SparkSession, *tables: DataFrame, times: int = 2) -> None:
+    """Deletes tables of ``written`` that nothing reads any more, the shuffle files of finished writes and the
+    driver's memory of their plans.
 
     Spark drops shuffle files once the driver has collected the plans that made them, so it is asked to collect.
     """
@@ -51,7 +52,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for t in tables:
         where = sc._jvm.org.apache.hadoop.fs.Path(t.staged_at)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    for _ in range(2):
+    for _ in range(times):
         gc.collect()
         sc._jvm.System.gc()
         time.sleep(0.2)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm.quality import let
-from eventlake.llm.scratch import written
+from eventlake.llm.scratch import release, written
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -328,6 +328,7 @@ def collisions(found: DataFrame, key: str, rounds: int = 200, strict: int = 20)
         marked = formed.join(shared, ["type", "form"], "left").join(real, ["type", "form"], "left")
         again = F.coalesce("real", F.lit(False)) | F.coalesce(F.col("first.canonical") != F.col("canonical"), F.lit(False))
         table = written(marked.select("type", "canonical", (F.col("attempt") + again.cast("int")).alias("attempt")))
+        release(found.sparkSession, times=1)
     else:
         raise ValueError(f"surrogates still collide after {rounds} attempts: more entities than their form has values")
     return table.filter("attempt > 0")
