@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ K = 5
 BLOCK_BYTES = 8 << 20
 #: Tokens for each part of the hash space.
 PART_TOKENS = 1_500_000
+#: Trigrams are exchanged in so many rounds, each with its share of the parts, which divides the disk they take.
+ROUNDS = 3
 #: Trigrams that training has less often are not in the model.
 LEAST_TRIGRAM = 2
 #: A word is spread if it is more than 1 / (SPREAD * parts) of the training tokens, and more than
@@ -415,7 +418,7 @@ def _asked3(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ASKED3_TYPES, strict=True)], names=["part", "block", "body"])
 
 
-def _ask_trigrams(model: Bigrams):
+def _ask_trigrams(model: Bigrams, turn: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for block in left.to_pylist():
@@ -426,12 +429,14 @@ def _ask_trigrams(model: Bigrams):
             cuts = np.searchsorted(x.context_part, np.arange(model.parts + 1))
             ends = np.concatenate([[0], np.cumsum(runs)])
             for p in np.flatnonzero(np.diff(cuts)):
+                if p % ROUNDS != turn:
+                    continue
                 c, t = slice(cuts[p], cuts[p + 1]), slice(ends[cuts[p]], ends[cuts[p + 1]])
                 pairs = x.trigram_pair[t]
                 words, first, which = distinct_of(x.vocabulary[x.second[pairs]])
                 # c(vw) and the denominator of v make P(w|v) of every trigram that training has
                 over = x.over[x.second[x.contexts[c]]]
-                body = [pack(x.context_hash[c], True), pack(runs[c].astype(np.uint32)), pack(x.pair_count[x.contexts[c]]), pack(over.astype(np.int64)),
+                body = [pack(x.context_hash[c], True), pack(runs[c].astype(np.uint32)), pack(over.astype(np.int64)),
                         pack(words, True), pack(which.astype(np.uint32)), pack(counts[t].astype(np.uint32)), pack(x.pair_count[pairs])]
                 rows.append((int(p), block["block"], _join(body)))
         return _asked3(rows)
@@ -449,19 +454,19 @@ def _sum_trigrams(model: Bigrams):
         contexts = [unpack(b[0], np.uint64, True) for _, b in rows]
         runs = [unpack(b[1], np.uint32).astype(np.int64) for _, b in rows]
         us, u_first, u_place = distinct_of(np.concatenate(contexts))
-        over = np.concatenate([unpack(b[3], np.int64) for _, b in rows])[u_first]
-        ws, _, w_place = distinct_of(np.concatenate([unpack(b[4], np.uint64, True) for _, b in rows]))
+        over = np.concatenate([unpack(b[2], np.int64) for _, b in rows])[u_first]
+        ws, _, w_place = distinct_of(np.concatenate([unpack(b[3], np.uint64, True) for _, b in rows]))
         u_at, w_at, keys = 0, 0, []
         for (_, b), f, n in zip(rows, contexts, runs, strict=True):
-            words = len(unpack(b[4], np.uint64, True))
-            keys.append(np.repeat(u_place[u_at : u_at + len(f)], n) * max(len(ws), 1) + w_place[w_at : w_at + words][unpack(b[5], np.uint32).astype(np.int64)])
+            words = len(unpack(b[3], np.uint64, True))
+            keys.append(np.repeat(u_place[u_at : u_at + len(f)], n) * max(len(ws), 1) + w_place[w_at : w_at + words][unpack(b[4], np.uint32).astype(np.int64)])
             u_at, w_at = u_at + len(f), w_at + words
         distinct, first, place = distinct_of(np.concatenate(keys).astype(np.uint64))
         total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, place, np.concatenate([unpack(b[6], np.uint32) for _, b in rows]).astype(np.int64))
+        np.add.at(total, place, np.concatenate([unpack(b[5], np.uint32) for _, b in rows]).astype(np.int64))
         total[total < LEAST_TRIGRAM] = 0
         u = distinct.astype(np.int64) // max(len(ws), 1)
-        pair_count = np.concatenate([unpack(b[7], np.int64) for _, b in rows])[first]
+        pair_count = np.concatenate([unpack(b[6], np.int64) for _, b in rows])[first]
         seen = total > 0
         low, more, covered = np.zeros((len(us), K), np.int64), np.zeros(len(us), np.int64), np.zeros(len(us))
         small = seen & (total <= K)
@@ -571,10 +576,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     release(docs.sparkSession)
 
     answers = replies.unionByName(of_pairs.filter("block >= 0"))
-    trigrams = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_trigrams(model), ASKED3)
-    of_trigrams = written(trigrams.groupBy("part").applyInArrow(_sum_trigrams(model), REPLY))
+    rounds = []
+    for turn in range(ROUNDS):
+        trigrams = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_trigrams(model, turn), ASKED3)
+        rounds.append(written(trigrams.groupBy("part").applyInArrow(_sum_trigrams(model), REPLY)))
+        del trigrams
+        release(docs.sparkSession, times=3)
+    of_trigrams = reduce(DataFrame.unionByName, rounds)
     discount = trigram_discounts(_totals(of_trigrams, K + 1))
-    release(docs.sparkSession)
+    release(docs.sparkSession, times=5)
     answers = answers.unionByName(of_trigrams.filter("block >= 0"))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model, discount), result)
