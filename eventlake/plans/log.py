@@ -131,8 +131,8 @@ def range_selectivity(spark, sf_dir):
 @register("bitset_density", "SELECT user_id, count(DISTINCT event_id % 1000) AS members, round(count(DISTINCT event_id % 1000) / 1000, 6) AS density FROM events GROUP BY user_id")
 def bitset_density(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 1000).alias("p"))
-    bits = e.groupBy("user_id").agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("p"))).alias("members"))
-    # bit positions are 1-based within a bitmap of 32768; 0 is the last bit of the bucket before
+    # remainders are -999 to 999, each a bit of its own (bitmap_bit_position puts n and 1 - n, so 1 and 0, on one)
+    bits = e.groupBy("user_id").agg(F.bitmap_count(F.bitmap_construct_agg(F.col("p") + 999)).alias("members"))
     return bits.withColumn("density", F.round(F.col("members") / 1000, 6))
 
 
