@@ -41,7 +41,8 @@ K = 5
 BLOCK_BYTES = 8 << 20
 #: Tokens for each part of the hash space.
 PART_TOKENS = 1_500_000
-#: Trigrams are exchanged in so many rounds, each with its share of the parts, which divides the disk they take.
+#: Trigrams are exchanged in so many rounds, each with its share of the parts, which divides the disk they take;
+#: blocks are scored in as many.
 ROUNDS = 3
 #: Trigrams that training has less often are not in the model.
 LEAST_TRIGRAM = 2
@@ -120,7 +121,7 @@ class Unigrams:
 
 # --- blocks ---------------------------------------------------------------------------------
 
-BLOCK = "block long, tokens long, ids array<long>, held array<boolean>, lengths array<int>, vocabulary binary, train binary, sequence binary"
+BLOCK = "block long, tokens long, ids array<long>, held array<boolean>, lengths array<int>, vocabulary binary, sequence binary"
 
 
 def _held_out(doc) -> bool:
@@ -136,13 +137,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_held_out(d) for d in ids]
         tokens = np.concatenate(hashes)
         vocabulary, _, sequence = distinct_of(np.concatenate([tokens, [START]]))
-        train = np.repeat(~np.array(held), lengths)
-        counts = np.bincount(sequence[:-1][train], minlength=len(vocabulary))
-        row = [base + n, len(tokens), list(ids), held, list(lengths), pack(vocabulary, True), pack(counts.astype(np.uint32)), pack(sequence[:-1].astype(np.uint32))]
+        row = [base + n, len(tokens), list(ids), held, list(lengths), pack(vocabulary, True), pack(sequence[:-1].astype(np.uint32))]
         n, size = n + 1, 0
         for x in (hashes, ids, lengths):
             x.clear()
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
     for batch in batches:
@@ -167,7 +166,8 @@ def _ask_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                vocabulary, train = unpack(row["vocabulary"], np.uint64, True), unpack(row["train"], np.uint32)
+                vocabulary, sequence = unpack(row["vocabulary"], np.uint64, True), unpack(row["sequence"], np.uint32)
+                train = np.bincount(sequence[np.repeat(~np.array(row["held"], bool), row["lengths"])], minlength=len(vocabulary)).astype(np.uint32)
                 part = part_of(vocabulary, parts)
                 cuts = np.searchsorted(part, np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(cuts))
@@ -559,7 +559,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     blocks = written(slim.mapInArrow(_blocks, BLOCK))
     parts = max(1, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // PART_TOKENS))
 
-    asked = blocks.select("block", "vocabulary", "train").mapInArrow(_ask_words(parts), "part int, block long, words binary, train binary")
+    asked = blocks.select("block", "held", "lengths", "vocabulary", "sequence").mapInArrow(_ask_words(parts), "part int, block long, words binary, train binary")
     of_words = written(asked.groupBy("part").applyInArrow(_sum_words, REPLY))
     release(docs.sparkSession)
     total, distinct, *of_counts = _totals(of_words, K + 3)
@@ -587,7 +587,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     release(docs.sparkSession, times=5)
     answers = answers.unionByName(of_trigrams.filter("block >= 0"))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model, discount), result)
+    # blocks are scored in as many rounds, so that only a share of all tables is in shuffle files beside them
+    turns = []
+    for turn in range(ROUNDS):
+        own = F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn
+        scored = blocks.filter(own).groupBy("block").cogroup(answers.filter(own).groupBy("block")).applyInArrow(_score(model, discount), result)
+        turns.append(written(scored))
+        del scored
+        release(docs.sparkSession, times=3)
+    return reduce(DataFrame.unionByName, turns)
 
 
 def _totals(replies: DataFrame, n: int) -> list[int]:
