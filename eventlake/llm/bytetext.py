@@ -100,6 +100,11 @@ def _grown(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+def forget() -> None:
+    """Frees the powers that ``Spans`` keeps between slices; the next slice makes them anew."""
+    _powers.clear()
+
+
 class Spans:
     """Hashes of spans of ``data``."""
 
@@ -136,7 +141,11 @@ def distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(x)
     ranked = x[order]
     new = np.ones(len(x), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    distinct, one = ranked[new], order[new]
+    del ranked
+    rank = np.cumsum(new)
+    rank -= 1
     inverse = np.empty(len(x), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return ranked[new], order[new], inverse
+    inverse[order] = rank
+    return distinct, one, inverse

@@ -21,10 +21,11 @@ words are spread by their own hash.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.bytetext import LOWER, Spans, distinct_of, mix, slices, words
+from eventlake.llm.bytetext import LOWER, Spans, distinct_of, forget, mix, slices, words
 from eventlake.llm.scratch import release, written
 
 #: Counts above K are not discounted.
@@ -50,9 +51,24 @@ LEAST_TRIGRAM = 2
 #: LEAST_SHARE of them, so that there are at most a million such words in a corpus of any size.
 SPREAD = 4
 LEAST_SHARE = 1e-6
+#: Bigrams and tokens of a block whose probabilities are made at once.
+SLICE = 1 << 17
 END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A2700000000001)
 
 
+@cache
+def lean() -> None:
+    """From now on arrays of a megabyte and more go back to the system when this process frees them.
+
+    The C library would keep such memory for the next task, and two workers stand beside each executor's heap.
+    """
+    c = ctypes.CDLL(None)
+    if hasattr(c, "mallopt"):  # glibc
+        c.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def pack(x: np.ndarray, rising: bool = False) -> bytes:
     """An integer array as compressed byte planes; differences if it is rising."""
     if rising and len(x):
@@ -129,6 +145,7 @@ def _held_out(doc) -> bool:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     base, n = TaskContext.get().partitionId() << 32, 0
     hashes, ids, lengths, size = [], [], [], 0
 
@@ -155,6 +172,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(data) + j - i
             if size >= BLOCK_BYTES:
                 yield out()
+    forget()
     if ids:
         yield out()
 
@@ -164,6 +182,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ask_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary, sequence = unpack(row["vocabulary"], np.uint64, True), unpack(row["sequence"], np.uint32)
@@ -195,6 +214,7 @@ def _of_counts(counts: np.ndarray) -> list[int]:
 
 
 def _sum_words(table: pa.Table) -> pa.Table:
+    lean()
     rows = table.to_pylist()
     asked = [unpack(r["words"], np.uint64, True) for r in rows]
     distinct, _, place = distinct_of(np.concatenate(asked))
@@ -211,17 +231,27 @@ def _sum_words(table: pa.Table) -> pa.Table:
 # --- bigrams --------------------------------------------------------------------------------
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and each value's place among them; a block has under 2^31 tokens."""
+    distinct, _, place = distinct_of(x)
+    return distinct, place.astype(np.int32)
+
+
 def _pairs(block: dict, replies: list[dict], parts: int, train_tokens: int):
     """All a block knows of its bigrams, in the order in which it asks for them."""
-    vocabulary, sequence = unpack(block["vocabulary"], np.uint64, True), unpack(block["sequence"], np.uint32).astype(np.int64)
+    vocabulary, sequence = unpack(block["vocabulary"], np.uint64, True), unpack(block["sequence"], np.uint32).view(np.int32)
     counts = np.concatenate([unpack(r["counts"], np.int64) for r in sorted(replies, key=lambda r: r["part"])])
     lengths = np.array(block["lengths"], np.int64)
     begin = np.cumsum(lengths) - lengths
-    before = np.empty(len(sequence), np.int64)
-    before[1:] = sequence[:-1]
-    before[begin] = np.searchsorted(vocabulary, START)
-    key, _, place = distinct_of((before * len(vocabulary) + sequence).astype(np.uint64))
-    first, second = np.divmod(key.astype(np.int64), len(vocabulary))
+    pairs = np.empty(len(sequence), np.uint64)
+    pairs[1:] = sequence[:-1]
+    pairs[begin] = np.searchsorted(vocabulary, START)
+    pairs *= np.uint64(len(vocabulary))
+    pairs += sequence.view(np.uint32)
+    key, place = _numbered(pairs)
+    del pairs
+    first, second = (x.astype(np.int32) for x in np.divmod(key, np.uint64(len(vocabulary))))
+    del key
     part = part_of(vocabulary[first], parts)
     following = counts.copy()
     following[np.searchsorted(vocabulary, START)] = counts[np.searchsorted(vocabulary, END)]
@@ -232,7 +262,7 @@ def _pairs(block: dict, replies: list[dict], parts: int, train_tokens: int):
     shift = mix(vocabulary[v] + vocabulary[u]) % np.maximum(reach[u], 1).astype(np.uint64)
     part[spread] = (part[spread] + shift.astype(np.int32)) % parts
     order = np.argsort(part, kind="stable")
-    return vocabulary, counts, sequence, lengths, before, first, second, place, part, order, common
+    return vocabulary, counts, sequence, lengths, first, second, place, part, order, common
 
 
 def _ask_pairs(parts: int, train_tokens: int):
@@ -240,9 +270,10 @@ def _ask_pairs(parts: int, train_tokens: int):
     types = [pa.int32(), pa.int64()] + [pa.binary()] * 7
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         rows = []
         for block in left.to_pylist():
-            vocabulary, counts, _, lengths, _, first, second, place, part, order, common = _pairs(block, right.to_pylist(), parts, train_tokens)
+            vocabulary, counts, _, lengths, first, second, place, part, order, common = _pairs(block, right.to_pylist(), parts, train_tokens)
             train = np.bincount(place[np.repeat(~np.array(block["held"], bool), lengths)], minlength=len(first))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cuts)):
@@ -266,6 +297,7 @@ def _sum_pairs(unigrams: Unigrams):
     for the common words, the numbers that alpha is made of."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         rows = table.to_pylist()
         firsts = [unpack(r["first"], np.uint64, True) for r in rows]
         runs = [unpack(r["runs"], np.uint32).astype(np.int64) for r in rows]
@@ -347,19 +379,20 @@ class _Known:
     def __init__(self, block: dict, replies: list[dict], model: Bigrams):
         of_words, of_pairs = [r for r in replies if r["needs"] is None], sorted((r for r in replies if r["needs"] is not None), key=lambda r: r["part"])
         unigrams = model.unigrams
-        self.vocabulary, self.counts, self.sequence, self.lengths, before, self.first, self.second, self.place, _, order, common = _pairs(block, of_words, model.parts, unigrams.total)
+        self.vocabulary, self.counts, self.sequence, self.lengths, self.first, self.second, self.place, _, order, common = _pairs(block, of_words, model.parts, unigrams.total)
         context = self.counts.astype(np.float64)
         context[np.searchsorted(self.vocabulary, START)] = model.train_docs
         self.pair_count = np.empty(len(self.first), np.int64)
-        self.pair_count[order] = np.concatenate([unpack(r["counts"], np.int64) for r in of_pairs])
         taken = np.array([r * (1 - model.discount[r]) for r in range(1, K + 1)])
         flat, left_mass, rest = np.zeros(len(self.vocabulary), bool), np.ones(len(self.vocabulary)), np.ones(len(self.vocabulary))
         at = 0
         for r in of_pairs:
             blobs = _split(r["needs"])
-            n = len(unpack(r["counts"], np.int64))
-            own = self.first[order[at : at + n]]
-            at += n
+            counts = unpack(r["counts"], np.int64)
+            mine = order[at : at + len(counts)]
+            at += len(counts)
+            self.pair_count[mine] = counts
+            own = self.first[mine]
             u = own[np.concatenate([[True], own[1:] != own[:-1]])]
             bits = [np.unpackbits(unpack(b, np.uint8))[: len(u)].astype(bool) for b in blobs[:2]]
             flat[u] = bits[0]
@@ -375,38 +408,48 @@ class _Known:
         self.over = context + flat
         left_mass = np.where(flat, 1.0, left_mass)
         p = unigrams.probability(self.counts)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            known = _damped(self.pair_count, model.discount) / self.over[self.first]
-            backed = left_mass[self.first] / self.over[self.first] / rest[self.first] * p[self.second]
         #: The probability of the second word of each bigram after its first.
-        self.pair = np.where(self.pair_count > 0, known, np.where(context[self.first] > 0, backed, p[self.second]))
+        self.pair = p[self.second]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for seen in np.array_split(np.arange(len(self.first)), -(-len(self.first) // SLICE) or 1):
+                u, v, n = self.first[seen], self.second[seen], self.pair_count[seen]
+                known = _damped(n, model.discount) / self.over[u]
+                backed = left_mass[u] / self.over[u] / rest[u] * p[v]
+                self.pair[seen] = np.where(n > 0, known, np.where(context[u] > 0, backed, p[v]))
+        del order, context, left_mass, rest, flat, p
         self._trigrams(model.parts)
 
     def _trigrams(self, parts: int) -> None:
         begin = np.cumsum(self.lengths) - self.lengths
-        previous = np.empty(len(self.place), np.int64)
+        previous = np.empty(len(self.place), np.int32)
         previous[1:] = self.place[:-1]
         previous[begin] = 0
         often = self.pair_count >= LEAST_TRIGRAM
         #: Tokens behind a bigram that can begin a trigram of the model.
         self.behind = often[previous]
         self.behind[begin] = False
-        tokens = np.flatnonzero(self.behind)
-        pairs, _, which = distinct_of(previous[tokens].astype(np.uint64))
-        pairs = pairs.astype(np.int64)
+        tokens = np.flatnonzero(self.behind).astype(np.int32)
+        pairs, which = _numbered(previous[tokens])
+        del previous
         hashes = mix(mix(self.vocabulary[self.first[pairs]]) * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[self.second[pairs]])
         order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         #: The contexts, by their hashes, and the context of each token behind one.
         self.contexts, self.context_hash, self.context_of = pairs[order], hashes[order], rank[which]
         self.context_part = part_of(self.context_hash, parts)
+        del pairs, which, hashes, order, rank
         able = often[self.place[tokens]]
+        self.able = tokens[able]
+        del tokens
         #: Distinct trigrams that can be of the model: (context, bigram of its last two words), by context.
         width = np.int64(max(len(self.first), 1))
-        key, _, self.trigram_of = distinct_of((self.context_of[able] * width + self.place[tokens[able]]).astype(np.uint64))
-        self.trigram_context, self.trigram_pair = np.divmod(key.astype(np.int64), width)
-        self.able = tokens[able]
+        trigrams = self.context_of[able].astype(np.int64)
+        trigrams *= width
+        trigrams += self.place[self.able]
+        key, self.trigram_of = _numbered(trigrams)
+        del trigrams, able
+        self.trigram_context, self.trigram_pair = (x.astype(np.int32) for x in np.divmod(key, width))
 
 
 ASKED3 = "part int, block long, body binary"
@@ -420,6 +463,7 @@ def _asked3(rows: list[tuple]) -> pa.Table:
 
 def _ask_trigrams(model: Bigrams, turn: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         rows = []
         for block in left.to_pylist():
             x = _Known(block, right.to_pylist(), model)
@@ -449,6 +493,7 @@ def _sum_trigrams(model: Bigrams):
     the model occur so often, up to ``K`` and more often, and the mass that P(.|v) gives them."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         rows = [(r["block"], _split(r["body"])) for r in table.to_pylist()]
         part = table.column("part")[0].as_py()
         contexts = [unpack(b[0], np.uint64, True) for _, b in rows]
@@ -508,6 +553,7 @@ def _score(model: Bigrams, discount: np.ndarray):
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         blocks = left.to_pylist()
         if not blocks:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
@@ -516,12 +562,18 @@ def _score(model: Bigrams, discount: np.ndarray):
         x = _Known(block, [r for r in replies if r["word"] != -3], model)
         of_trigrams = sorted((r for r in replies if r["word"] == -3), key=lambda r: r["part"])
         found = [_split(r["needs"]) for r in of_trigrams]
+        count = np.concatenate([np.zeros(0, np.int64), *(unpack(r["counts"], np.int64) for r in of_trigrams)])
+        del replies, of_trigrams
         gather = lambda i, dtype: np.concatenate([np.zeros(0, dtype), *(unpack(b[i], dtype) for b in found)])
-        low = [gather(i, np.int64) for i in range(K + 1 - LEAST_TRIGRAM)]
         more, covered = gather(K + 1 - LEAST_TRIGRAM, np.int64), gather(K + 2 - LEAST_TRIGRAM, np.uint64).view(np.float64)
-        count = np.concatenate([np.zeros(0, np.int64), *(unpack(r["counts"], np.int64) for r in of_trigrams)])
-        held = more + sum((r * n for r, n in zip(range(LEAST_TRIGRAM, K + 1), low, strict=True)), np.zeros(len(more), np.int64))
-        kept = more + sum((r * discount[r] * n for r, n in zip(range(LEAST_TRIGRAM, K + 1), low, strict=True)), np.zeros(len(more)))
+        held, kept = np.zeros(len(more), np.int64), np.zeros(len(more))
+        for r in range(LEAST_TRIGRAM, K + 1):
+            low = gather(r - LEAST_TRIGRAM, np.int64)
+            held += r * low
+            kept += r * discount[r] * low
+        del found, low
+        held += more
+        kept += more
         context = x.pair_count[x.contexts]
         # where the trigrams of a context leave nothing, one more count is the mass of what was not seen
         full = (held == context) & (kept == held)
@@ -530,15 +582,17 @@ def _score(model: Bigrams, discount: np.ndarray):
         if len(x.contexts):
             alpha = (1 - kept / over) / (1 - covered)
             p[x.behind] *= alpha[x.context_of]
+            damped = _damped(count, tuple(discount)) / over[x.trigram_context]
             hit = count[x.trigram_of] > 0
-            t = x.trigram_of[hit]
-            p[x.able[hit]] = _damped(count[t], tuple(discount)) / over[x.trigram_context[t]]
-        docs = np.repeat(np.arange(len(x.lengths)), x.lengths)
-        token_counts = x.counts[x.sequence]
-        base = np.log10((token_counts + 1) / (unigrams.total + unigrams.distinct + 1))
+            p[x.able[hit]] = damped[x.trigram_of[hit]]
+        np.log10(p, out=p)
+        documents, lengths, sequence, counts = len(x.lengths), x.lengths, x.sequence, x.counts
+        del x
+        docs = np.repeat(np.arange(documents), lengths)
+        base = np.log10((counts + 1) / (unigrams.total + unigrams.distinct + 1))
         columns = [
-            block["ids"], block["held"], x.lengths, np.bincount(docs[token_counts > 0], minlength=len(x.lengths)), np.full(len(x.lengths), unigrams.total),
-            np.bincount(docs, base, len(x.lengths)), np.bincount(docs, np.log10(p), len(x.lengths)),
+            block["ids"], block["held"], lengths, np.bincount(docs[(counts > 0)[sequence]], minlength=documents), np.full(documents, unigrams.total),
+            np.bincount(docs, base[sequence], documents), np.bincount(docs, p, documents),
         ]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
